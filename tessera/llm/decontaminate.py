@@ -4,6 +4,9 @@ A fingerprint is the least hash of the word k-grams of a sliding window. Windows
 k-grams that equal windows of a document and of a benchmark item keep the same fingerprint, so joining fingerprints
 finds every shared window. Around each hit the item's window is compared word by word with the document's. Items
 shorter than a window are one window themselves, with all their words as the gram.
+
+explode_outer keeps the optimizer from pushing a filter on the array below, where it would compute the array anew for
+each element.
 """
 
 from __future__ import annotations
@@ -42,6 +45,13 @@ def kept(grams: Column, window: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, window))))
 
 
+def hit_grams(hashes: Column, n: int, hits: Column) -> Column:
+    """Place and hash of the runs of n entries whose hash is among hits."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)))
+    grams = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), *(F.get(hashes, i + j) for j in range(n))).alias("f")))
+    return F.filter(grams, lambda p: F.array_contains(hits, p["f"]))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, th: a row for each input row.
 
@@ -53,7 +63,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     source = keyed(docs)
     item_words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0 and item_id is not null")
     spans = F.when(F.size("w") >= window, F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.slice("w", i, window))).otherwise(F.array("w"))
-    item_windows = materialize(item_words.select("item_id", F.explode(spans).alias("v")).distinct())
+    item_windows = materialize(item_words.select("item_id", F.explode_outer(spans).alias("v")).distinct())
     windows = item_windows.select("v", F.size("v").alias("n"), F.transform("v", lambda x: F.xxhash64(x)).alias("h")).distinct()
     short = sorted(r.n for r in windows.where(F.col("n") < window).select("n").distinct().collect())  # window - 1 numbers at most
     long_ = windows.where(F.col("n") == window).select("v", "n", gram_hashes(F.col("h"), gram).alias("g")).select("v", "n", "g", F.array_min("g").alias("f"))
@@ -68,14 +78,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     hashed = source.select("doc_id", "th", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     grams = hashed.select("doc_id", "th", "h", gram_hashes(F.col("h"), gram).alias("g"))
     own = [kept(F.col("g"), window - gram + 1), *(gram_hashes(F.col("h"), n) for n in short)]
-    fingerprints = grams.select("doc_id", "th", (F.concat(*own) if short else own[0]).alias("f")).select("doc_id", "th", F.explode("f").alias("f"))
+    fingerprints = grams.select("doc_id", "th", (F.concat(*own) if short else own[0]).alias("f")).select("doc_id", "th", F.explode_outer("f").alias("f"))
     hits = materialize(fingerprints.join(near(prints), "f").groupBy("doc_id", "th").agg(F.collect_set("f").alias("hits")))
 
     s, x = source.alias("s"), hits.alias("x")
     joined = s.join(x, same(F.col("s.doc_id"), F.col("x.doc_id")) & (F.col("s.th") == F.col("x.th")), "left").select("s.doc_id", "s.th", n_words_of(F.col("s.text")).cast("long").alias("n_words"), F.when(F.col("x.hits").isNotNull(), words_of(F.col("s.text"))).alias("w"), "x.hits")
     every = [(gram, window), *((n, n) for n in short)]
     placed = joined.withColumn("h", F.transform("w", lambda v: F.xxhash64(v)))
-    found = [F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - n, F.lit(0))), lambda i, n=n: F.struct(i.alias("at"), F.xxhash64(F.lit(n), *(F.get(F.col("h"), i + j) for j in range(n))).alias("f"))), lambda p: F.array_contains("hits", p["f"])) for n in sorted({n for n, _ in every})]
+    found = [hit_grams(F.col("h"), n, F.col("hits")) for n in sorted({n for n, _ in every})]
     places = F.transform(F.concat(*found) if len(found) > 1 else found[0], lambda p: F.struct(p["at"].alias("at"), p["f"].alias("f"), F.slice("w", F.greatest(p["at"] - window, F.lit(0)) + 1, 3 * window).alias("near")))
     traced = materialize(placed.select("doc_id", "th", "n_words", F.when(F.col("hits").isNotNull(), places).alias("places")))
 

@@ -3,7 +3,7 @@
 A small network learns from trusted positives and unlabelled documents by the non-negative unbiased risk
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); while the second part is negative, its gradient is followed the
 other way. The class prior is the share of positives among the labelled training rows. Scores are shifted so that
-the share of unlabelled documents at CUT or above is the prior.
+CUT lies where unlabelled documents are rarest, near the place that has the prior's share of them above it.
 
 The model is fitted on at most about SAMPLE positives and SAMPLE unlabelled documents, chosen by a hash of doc_id;
 priors and counts are of all rows, and every document is scored.
@@ -101,10 +101,22 @@ class Network:
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad * grad
                 self.parts[k] = self.parts[k] - 0.03 * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8)
-        self.shift = math.log(CUT / (1 - CUT)) - float(np.quantile(self.margin(unlabelled), 1 - prior))
+        self.shift = math.log(CUT / (1 - CUT)) - _valley(np.sort(self.margin(unlabelled)), 1 - prior)
         return self
 
 
+def _valley(margins: np.ndarray, share: float) -> float:
+    """The emptiest place of the sorted margins near the quantile of a share."""
+    n = len(margins)
+    m = max(1, n // 200)
+    lo, hi = max(0, int((share - 0.06) * n)), min(n - 1, int((share + 0.02) * n) + m)
+    if hi - lo <= m:
+        return float(np.quantile(margins, share))
+    wide = margins[lo + m : hi + 1] - margins[lo : hi + 1 - m]
+    k = lo + int(wide.argmax())
+    return float(margins[k] + margins[k + m]) / 2
+
+
 _FOUND = pa.schema([("positive", pa.bool_()), ("x", pa.list_(pa.float64()))])
 
 

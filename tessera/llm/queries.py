@@ -74,13 +74,13 @@ _LETTERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _words(text: str, between: str) -> str:
-    return f"list_filter(string_split_regex({text}, '{between}'), x -> x <> '')"
+    return f"list_filter(string_split_regex({text}, '{between}'), lambda x: x <> '')"
 
 
 ORACLES = {
     "op1_minhash_dedup": f"""
 with recursive d as (select doc_id, {_words(_LOW.format("text"), _BLANK)} as w from documents),
-s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), i -> array_to_string(w[i:i + 2], ' '))) end as s from d),
+s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from d),
 e as (select doc_id, len(s) as n, unnest(s) as g from s),
 links as (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id
   group by 1, 2, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
@@ -89,7 +89,7 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.c as component_id, s.
 from s join (select a, min(b) as c from reach group by a) r on r.a = s.doc_id""",
     "op2_winnow_decontamination": f"""
 with i as (select cast(item_id as varchar) as item_id, {_words(_LOW.format("text"), _LETTERS)} as w from benchmark),
-iw as (select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), k -> array_to_string(w[k:k + 9], ' '))) as v from i where len(w) > 0),
+iw as (select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k:k + 9], ' '))) as v from i where len(w) > 0),
 d as (select doc_id, {_words(_LOW.format("text"), _LETTERS)} as w from documents),
 p as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from iw) where len(w) >= n),
 m as (select p.doc_id, p.k, p.n, iw.item_id from p join iw on iw.n = p.n and iw.v = array_to_string(p.w[p.k:p.k + p.n - 1], ' ')),

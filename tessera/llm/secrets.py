@@ -60,7 +60,7 @@ def _matches(text: Column, low: Column, k: Kind) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, th, kind, start, end, base: reported spans of distinct rows (by doc_id and th), in code points."""
     source = keyed(docs).where("text is not null").withColumn("low", F.lower("text"))
-    found = source.select("doc_id", "th", F.explode(F.concat(*(_matches(F.col("text"), F.col("low"), k) for k in KINDS))).alias("m")).select("doc_id", "th", "m.*").distinct()
+    found = source.select("doc_id", "th", F.explode_outer(F.concat(*(_matches(F.col("text"), F.col("low"), k) for k in KINDS))).alias("m")).where("m is not null").select("doc_id", "th", "m.*").distinct()
     row = Window.partitionBy("doc_id", "th", "kind").orderBy("i")
     ends = F.sum(F.col("gap") + F.col("len")).over(row)
     placed = found.withColumn("end", ends).withColumn("start", F.col("end") - F.col("len")).where("ok")
