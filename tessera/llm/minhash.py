@@ -5,10 +5,12 @@ circularly by k, ranks the slots for coordinate k; the coordinate is the least r
 coordinates are the candidate keys; links are confirmed on whole shingle sets.
 
 Documents with equal sets form a class, and only one of each class is banded. In each bucket every member is
-compared with one hub, twice with different hubs, and linked members merge into components. A pair in a bucket whose
-two ends are still in different components after that is compared too, so that no link between different texts is
-lost, yet pairs within a component are never enumerated. A pair at the threshold shares no bucket with a
-probability of at most MISS.
+compared with one hub, first the member that meets the most others in all its buckets, which is the likely origin of
+a group of copies, then one by chance; linked members merge into components. A pair in a bucket whose two ends are
+still in different components after that is compared too, so that no link between different texts is lost, yet
+pairs within a component are never enumerated. Before texts are fetched, four bits of each of COORDINATES coordinates
+must agree nearly as often as they would at the threshold. A pair at the threshold shares no bucket, or fails that
+test, with a probability of about MISS.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .common import NO_ID, WordHashes, ascii_lower, batches, keyed, materialize,
 SLOTS = 1 << 22
 #: Coordinates a band has, and the probability of a missed link at the threshold.
 ROWS, MISS = 5, 1e-6
-BITS = 128
+#: Coordinates that are compared, by four bits of each, and the standard deviations they may fall short.
+COORDINATES, SIGMAS = 128, 5
+WORDS = [f"q{i}" for i in range(COORDINATES // 16)]
 
 
 def bands_for(threshold: float) -> int:
@@ -37,9 +41,20 @@ def bands_for(threshold: float) -> int:
 
 
 def most_differing(threshold: float) -> int:
-    """One-bit coordinates of BITS that may differ at the threshold, six standard deviations above the mean."""
-    p = (1 - threshold) / 2
-    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+    """Compared coordinates that may differ in a pair at the threshold."""
+    p = (1 - threshold) * 15 / 16
+    return math.ceil(COORDINATES * p + SIGMAS * math.sqrt(COORDINATES * p * (1 - p)))
+
+
+def differing(x: str, y: str):
+    """Number of the compared coordinates whose four bits differ between the rows x and y."""
+    total = F.lit(0)
+    for w in WORDS:
+        v = F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        total = total + F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 @functools.lru_cache(maxsize=2)
@@ -58,11 +73,11 @@ def signature(shingles: np.ndarray, width: int) -> np.ndarray:
     return least
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bit_a", pa.int64()), ("bit_b", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), *((w, pa.int64()) for w in WORDS), ("keys", pa.list_(pa.int64()))])
 
 
 def _sketches(n: int, bands: int):
-    width = max(BITS, bands * ROWS)
+    width = max(COORDINATES, bands * ROWS)
 
     def run(frames):
         words = WordHashes()
@@ -71,12 +86,13 @@ def _sketches(n: int, bands: int):
             for doc_id, th, text in records(frames):
                 s = shingle_set(words.of(ascii_lower(text).split()), n)
                 if not len(s):
-                    yield doc_id, th, 0, None, None, None, None
+                    yield doc_id, th, 0, None, *[None] * len(WORDS), None
                     continue
                 sig = signature(s, width)
                 keys = band_keys(sig, bands)
-                bits = np.packbits(sig[:BITS] & 1).view(np.int64)
-                yield doc_id, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), int(bits[0]), int(bits[1]), keys
+                low = (sig[:COORDINATES] & 15).astype(np.uint8)
+                low = (low[::2] << 4 | low[1::2]).view(np.int64).tolist()
+                yield doc_id, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), *low, keys
 
         yield from batches(rows(), _SKETCH)
 
@@ -151,16 +167,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
     threshold = numerator / denominator
     bands = bands_for(threshold)
     source = keyed(docs)
-    sketches = materialize(source.mapInArrow(_sketches(shingle, bands), "doc_id long, th long, n_shingles long, set_id binary, bit_a long, bit_b long, keys array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
+    sketches = materialize(source.mapInArrow(_sketches(shingle, bands), f"doc_id long, th long, n_shingles long, set_id binary, {' long, '.join(WORDS)} long, keys array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
     filled = sketches.where("n_shingles > 0")
     classes = materialize(filled.groupBy("set_id").agg(F.min("doc_id").alias("least")))
-    picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", "bit_a", "bit_b", "keys").dropDuplicates(["set_id"])
+    picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", *WORDS, "keys").dropDuplicates(["set_id"])
     picked = materialize(picked)
-    members = picked.select("set_id", "bit_a", "bit_b", F.posexplode("keys").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = picked.select("set_id", *WORDS, F.posexplode("keys").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(members.join(buckets, ["band", "key"]))
-
-    near = F.bit_count(F.col("x.bit_a").bitwiseXOR(F.col("y.bit_a"))) + F.bit_count(F.col("x.bit_b").bitwiseXOR(F.col("y.bit_b"))) <= most_differing(threshold)
+    members = members.drop("n").join(members.groupBy("set_id").agg(F.sum("n").alias("met")), "set_id")
+    near = differing("x", "y") <= most_differing(threshold)
     texts = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     tested, links = None, None
 
@@ -181,8 +197,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
             mixed_up = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "key")
             now = now.join(mixed_up, ["band", "key"])
         if turn < 2:
-            order = F.xxhash64("set_id", "band", F.lit(turn))
-            hubs = now.groupBy("band", "key").agg(*(F.min_by(c, order).alias(c) for c in ("set_id", "bit_a", "bit_b", *(["root"] if links is not None else []))))
+            order = F.struct(-F.col("met"), "set_id") if turn == 0 else F.struct(F.xxhash64("set_id", "band"), "set_id")
+            hub = F.struct("set_id", *WORDS, *(["root"] if links is not None else []))
+            hubs = now.groupBy("band", "key").agg(F.min_by(hub, order).alias("hub")).select("band", "key", "hub.*")
             other = F.col("x.set_id") != F.col("y.set_id") if links is None else F.col("x.root") != F.col("y.root")
             pairs = now.alias("x").join(hubs.alias("y"), ["band", "key"]).where(other & near)
         else:
