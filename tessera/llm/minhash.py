@@ -33,6 +33,8 @@ ROWS, MISS = 5, 1e-6
 #: Coordinates that are compared, by four bits of each, and the standard deviations they may fall short.
 COORDINATES, SIGMAS = 128, 5
 WORDS = [f"q{i}" for i in range(COORDINATES // 16)]
+DIFFERENCE = 512
+MAPS = [f"d{i}" for i in range(DIFFERENCE // 64)]
 
 
 def bands_for(threshold: float) -> int:
@@ -60,7 +62,7 @@ def differing(x: str, y: str):
 @functools.lru_cache(maxsize=2)
 def _ranks(width: int) -> np.ndarray:
     """Row i: pi at the slots i, i+1, ... on the circle, thus the ranks of slot i for all coordinates."""
-    pi = np.random.default_rng(20240501).permutation(SLOTS).astype(np.uint32)
+    pi = np.random.default_rng(20240501).permutation(np.arange(SLOTS, dtype=np.uint32))
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:width]]), width)
 
 
@@ -108,11 +110,11 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-_VERIFIED = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_COMPARED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_()), *((w, pa.int64()) for w in MAPS)])
 
 
-def _verify(n: int, numerator: int, denominator: int):
-    """Pairs whose whole sets have denominator * intersection >= numerator * union."""
+def _compare(n: int, numerator: int, denominator: int):
+    """Whether denominator * intersection >= numerator * union for whole sets, and the bitmap of their difference."""
 
     def run(frames):
         words, last = WordHashes(), (None, None)
@@ -123,11 +125,13 @@ def _verify(n: int, numerator: int, denominator: int):
                 if last[0] != a:
                     last = a, shingle_set(words.of(ascii_lower(text_a).split()), n)
                 x, y = last[1], shingle_set(words.of(ascii_lower(text_b).split()), n)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and denominator * both >= numerator * (len(x) + len(y) - both):
-                    yield a, b
+                apart = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(apart)) // 2
+                bits = np.zeros(DIFFERENCE, bool)
+                bits[(mixed(apart) >> np.uint64(55)).astype(np.int64)] = True
+                yield a, b, denominator * both >= numerator * (both + len(apart)), *np.packbits(bits).view(np.int64).tolist()
 
-        yield from batches(rows(), _VERIFIED)
+        yield from batches(rows(), _COMPARED, 1024)
 
     return run
 
@@ -170,49 +174,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
     sketches = materialize(source.mapInArrow(_sketches(shingle, bands), f"doc_id long, th long, n_shingles long, set_id binary, {' long, '.join(WORDS)} long, keys array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
     filled = sketches.where("n_shingles > 0")
     classes = materialize(filled.groupBy("set_id").agg(F.min("doc_id").alias("least")))
-    picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", *WORDS, "keys").dropDuplicates(["set_id"])
+    picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", "n_shingles", *WORDS, "keys").dropDuplicates(["set_id"])
     picked = materialize(picked)
-    members = picked.select("set_id", *WORDS, F.posexplode("keys").alias("band", "key"))
+    members = picked.select("set_id", "n_shingles", *WORDS, F.posexplode("keys").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(members.join(buckets, ["band", "key"]))
     members = members.drop("n").join(members.groupBy("set_id").agg(F.sum("n").alias("met")), "set_id")
     near = differing("x", "y") <= most_differing(threshold)
     texts = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    tested, links = None, None
+    tested = links = origins = first = None
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
         where = ends.join(picked.select("set_id", "doc_id", "th"), "set_id")
         held = materialize(texts.join(where, ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))
         left, right = held.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(shingle, numerator, denominator), "a binary, b binary"))
-
-    def canonical(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+        return materialize(both.mapInArrow(_compare(shingle, numerator, denominator), f"a binary, b binary, linked boolean, {' long, '.join(MAPS)} long"))
 
     for turn in range(3):
         now = members
-        if links is not None:
+        if turn:
             now = materialize(members.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-            mixed_up = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "key")
-            now = now.join(mixed_up, ["band", "key"])
+            undone = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "key")
+            now = now.join(undone, ["band", "key"])
         if turn < 2:
             order = F.struct(-F.col("met"), "set_id") if turn == 0 else F.struct(F.xxhash64("set_id", "band"), "set_id")
-            hub = F.struct("set_id", *WORDS, *(["root"] if links is not None else []))
+            hub = F.struct("set_id", *WORDS, *(["root"] if turn else []))
             hubs = now.groupBy("band", "key").agg(F.min_by(hub, order).alias("hub")).select("band", "key", "hub.*")
-            other = F.col("x.set_id") != F.col("y.set_id") if links is None else F.col("x.root") != F.col("y.root")
+            if turn == 0:
+                hubs = materialize(hubs)
+                origins = hubs.select("band", "key", F.col("set_id").alias("hub"))
+            other = F.col("x.root") != F.col("y.root") if turn else F.col("x.set_id") != F.col("y.set_id")
             pairs = now.alias("x").join(hubs.alias("y"), ["band", "key"]).where(other & near)
         else:
-            pairs = now.alias("x").join(now.alias("y"), ["band", "key"]).where((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & near)
-        pairs = canonical(pairs.select(F.col("x.set_id").alias("p"), F.col("y.set_id").alias("q")))
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn == 2:
-                break
-            links = links if links is not None else materialize(pairs)
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        links = verified(pairs) if links is None else links.union(verified(pairs))
+            # turn 0 compared most members of a bucket with its hub; the others have no bitmap and pass
+            maps = [F.col(w) for w in MAPS]
+            own = now.join(origins, ["band", "key"]).withColumn("a", F.least("hub", "set_id")).withColumn("b", F.greatest("hub", "set_id"))
+            own = materialize(own.join(first.select("a", "b", *maps), ["a", "b"], "left").drop("a", "b", "hub"))
+            apart = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in MAPS), F.lit(0))
+            bound = (numerator + denominator) * apart <= (denominator - numerator) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+            may = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & F.coalesce(bound, F.lit(True)) & near
+            pairs = own.alias("x").join(own.alias("y"), ["band", "key"]).where(may)
+        pairs = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+        result = compared(materialize(pairs if turn == 0 else pairs.join(tested, ["a", "b"], "left_anti")))
+        first = result if turn == 0 else first
+        tested = result.select("a", "b") if turn == 0 else tested.union(result.select("a", "b"))
+        new = result.where("linked").select("a", "b")
+        links = new if turn == 0 else links.union(new)
 
     roots = classes.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
