@@ -16,6 +16,8 @@ import bisect
 import os
 import zlib
 from collections import defaultdict
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from .common import batches, materialize, slices
 #: Sizes of the linear program, and shares of a sequence above which a piece is long; the plan of the fewest sequences is taken.
 GROUPS, LONG = 40, (0.5, 0.4, 0.3, 0.2)
 #: Chunks whose tokens a worker keeps, and as many again of the generation before.
-CACHE = 450_000
+CACHE = 600_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -39,7 +41,7 @@ _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long,
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class Tokens(dict):
+class Tokens:
     """Blank-delimited chunk -> its ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and lower-cases, so chunks are independent of each other and of the case of A-Z,
@@ -50,33 +52,59 @@ class Tokens(dict):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encoder, self.older = Tokenizer.from_file(path), {}
+        self.encoder = Tokenizer.from_file(path)
+        self.held, self.older = {}, {}  # plain dictionaries: sets compare with them in C
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         data = [x.encode() if x else b"" for x in texts]
         chunks = [(x if b"<|" in x else x.lower()).split() for x in data]
-        self._learn(set().union(*chunks))
-        return [b"".join(map(self.__getitem__, c)) for c in chunks]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = chunks.difference(self)
-        if len(self) + len(new) > CACHE:
-            self.older = dict(self)
-            self.clear()
-            new = chunks
-        again = [c for c in new if c in self.older]
-        self.update((c, self.older[c]) for c in again)
-        cut = {}
-        for c in new.difference(again):
+        found = [list(map(self.held.get, c)) for c in chunks]
+        new = set().union(*(compress(c, map(not_, r)) for c, r in zip(chunks, found)))
+        if new:
+            self._learn(new)
+            held = self.held
+            found = [[x or held[w] for w, x in zip(c, r)] if None in r else r for c, r in zip(chunks, found)]
+        return [b"".join(r) for r in found]
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.held) + 2 * len(new) > CACHE:
+            self.older, self.held = self.held, {}
+        held, older = self.held, self.older
+        parts, need = [], set()
+        for c in new:
+            if c in older:
+                held[c] = older[c]
+                continue
             core = c.rstrip(_MARKS)
-            apart = len(core) < len(c) and core[-1:].isalnum() and b"<|" not in c
-            cut[c] = (core, c[len(core) :]) if apart else (c,)
-        new = [x for x in dict.fromkeys(x for parts in cut.values() for x in parts) if x not in self]
-        for x, e in zip(new, self.encoder.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-            self[x] = np.array(e.ids, "<u4").tobytes()
-        for c, parts in cut.items():
-            if len(parts) > 1:
-                self[c] = self[parts[0]] + self[parts[1]]
+            if len(core) < len(c) and core[-1:].isalnum() and b"<|" not in c:
+                marks = c[len(core) :]
+                parts.append((c, core, marks))
+                need.add(core)
+                need.add(marks)
+            else:
+                need.add(c)
+        need = [x.decode() for x in need.difference(held)]
+        self._encode([x for x in need if x.isalpha()], [x for x in need if not x.isalpha()])
+        for c, core, marks in parts:
+            held[c] = held[core] + held[marks]
+
+    def _encode(self, letters: list[str], others: list[str]) -> None:
+        """Runs of letters are one word each, so many are encoded as one text and parted at the tokens that end a word."""
+        if letters:
+            ids = np.array(self.encoder.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(letters):
+                data, last = ids.tobytes(), 0
+                for x, e in zip(letters, (4 * ends).tolist()):
+                    self.held[x.encode()] = data[last:e]
+                    last = e
+            else:
+                others = letters + others
+        for x, e in zip(others, self.encoder.encode_batch_fast(others, add_special_tokens=False)):
+            self.held[x.encode()] = np.array(e.ids, "<u4").tobytes()
 
 
 #: Of this Python worker.
