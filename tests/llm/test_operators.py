@@ -172,6 +172,56 @@ def test_secrets(spark, docs, none):
     assert find_secrets(docs).count() == len(ROWS) and find_secrets(none).count() == 0
 
 
+def test_pipeline(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = common.table(spark, sf_dir, "documents")
+    columns, held = docs.columns, [docs.collect()]
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir))
+        held.append(docs.collect())
+        assert docs.columns == columns or len(held) == 6
+    every, good, single, clean, masked, pieces = held
+    assert good and set(good) <= set(every)
+
+    sets = {}
+    for r in good:
+        w = words(lower(r.text))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root, old = {i: i for i in sets}, None
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while old != root:
+        old = dict(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted(single) == sorted(r for r in good if root[r.doc_id] == r.doc_id)
+
+    windows = {tuple(w[k : k + 10]) for r in common.table(spark, sf_dir, "benchmark").collect() if (w := letters(r.text)) for k in range(max(1, len(w) - 9))}
+    lengths = {len(v) for v in windows}
+    free = lambda w: not any(tuple(w[k : k + n]) in windows for n in lengths for k in range(len(w) - n + 1))
+    assert sorted(clean) == sorted(r for r in single if free(letters(r.text)))
+
+    want = []
+    for r, found in ((r, f) for f in find_secrets(spark.createDataFrame(clean)).collect() for r in clean if r.doc_id == f.doc_id):
+        text, end = "", 0
+        for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in found.spans.split(",") if x):
+            if a >= end:
+                text += r.text[end:a] + "[SECRET]"
+            end = max(end, b)
+        text += r.text[end:]
+        want.append((r.doc_id, text, r.lang, r.source, len(text)))
+    assert sorted(tuple(r) for r in masked) == sorted(want)
+
+    t, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for r in masked:
+        ids = [*t.encode(r.text, add_special_tokens=False).ids, 0]
+        want += [(r.doc_id, k // 2048, k, len(ids[k : k + 2048])) for k in range(0, len(ids), 2048)]
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in pieces) == sorted(want)
+
+
 def test_cascade(spark):
     keys = [f"k{i}" for i in range(3000)]
     for listed in ([], keys[:1], keys[::7], keys):
