@@ -16,22 +16,23 @@ import bisect
 import os
 import zlib
 from collections import defaultdict
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import batches, materialize, slices
+from .common import batches, materialize
 
 #: Sizes of the linear program, and shares of a sequence above which a piece is long; the plan of the fewest sequences is taken.
 GROUPS, LONG = 40, (0.5, 0.4, 0.3, 0.2)
 #: Chunks whose tokens a worker keeps, and as many again of the generation before.
 CACHE = 600_000
+#: Bytes of text that are encoded together.
+PORTION = 8 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -59,15 +60,34 @@ class Tokens:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        data = [x.encode() if x else b"" for x in texts]
-        chunks = [(x if b"<|" in x else x.lower()).split() for x in data]
-        found = [list(map(self.held.get, c)) for c in chunks]
-        new = set().union(*(compress(c, map(not_, r)) for c, r in zip(chunks, found)))
+        ids, ends = self.joined(pa.array(texts, pa.string()))
+        data, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[x:y] for x, y in zip(ends, ends[1:])]
+
+    def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and where each text ends; each distinct chunk is looked up once."""
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)).fill_null("")
+        chunks = pc.ascii_split_whitespace(low)
+        coded = chunks.flatten().dictionary_encode()
+        parts = self._each(coded.dictionary.cast(pa.binary()).to_pylist())
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first = np.cumsum(size) - size
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        length = size[codes]
+        after = np.concatenate([[0], np.cumsum(length)])
+        ids = pool[np.arange(after[-1]) + np.repeat(first[codes] - after[:-1], length)]
+        per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        return ids, after[np.cumsum(per_text)]
+
+    def _each(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of distinct chunks; an empty one has none."""
+        found = [self.held.get(c) for c in chunks]
+        new = {c for c, x in zip(chunks, found) if not x and c}
         if new:
             self._learn(new)
-            held = self.held
-            found = [[x or held[w] for w, x in zip(c, r)] if None in r else r for c, r in zip(chunks, found)]
-        return [b"".join(r) for r in found]
+            found = [x or (self.held[c] if c else b"") for c, x in zip(chunks, found)]
+        return [x or b"" for x in found]
 
     def _learn(self, new: set[bytes]) -> None:
         if len(self.held) + 2 * len(new) > CACHE:
@@ -94,7 +114,7 @@ class Tokens:
     def _encode(self, letters: list[str], others: list[str]) -> None:
         """Runs of letters are one word each, so many are encoded as one text and parted at the tokens that end a word."""
         if letters:
-            ids = np.array(self.encoder.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.encoder.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(letters):
                 data, last = ids.tobytes(), 0
@@ -111,19 +131,35 @@ class Tokens:
 _tokens: dict[str, Tokens] = {}
 
 
+def _portions(frames):
+    """Ids and texts of consecutive rows, of PORTION bytes of text or a single row at most."""
+    for batch in frames:
+        doc_id, text = batch.column(0), batch.column(1)
+        size = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(text):
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + PORTION, "right")))
+            yield doc_id.slice(at, to - at).to_pylist(), text.slice(at, to - at)
+            at = to
+
+
 def _pieces(path: str, capacity: int, end: int):
     def run(frames):
         tokens = _tokens[path] = _tokens.get(path) or Tokens(path)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        close = np.array([end], "<u4").tobytes()
 
         def rows():
-            for doc_id, ids in ((d, i + close) for ds, texts in slices(frames) for d, i in zip(ds, tokens.of(texts))):
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    yield doc_id, k, at // 4, n, zlib.crc32(own), part, seen[n]
-                    seen[n] += 1
+            for doc_ids, texts in _portions(frames):
+                ids, ends = tokens.joined(texts)
+                data = memoryview(np.insert(ids, ends, end).astype("<u4", copy=False)).cast("B")
+                last = 0
+                for doc_id, stop in zip(doc_ids, (ends + np.arange(1, len(ends) + 1)).tolist()):
+                    for k, at in enumerate(range(last, stop, capacity)):
+                        n = min(capacity, stop - at)
+                        yield doc_id, k, at - last, n, zlib.crc32(data[4 * at : 4 * (at + n)]), part, seen[n]
+                        seen[n] += 1
+                    last = stop
 
         yield from batches(rows(), _PIECES)
 
