@@ -6,7 +6,7 @@ its input is the matrix of unit bigrams of the whole training text, whose size i
 probability is that of its class after the class before, smoothed towards the class's own share, times the word's
 share of its class, add-one smoothed with one place for unseen words of each ending.
 
-Counts of frequent words (at most LOOKUP) go to every worker; all other tokens meet their counts in a join.
+Counts of frequent words (at most LOOKUP) and of the end go to every worker; all other tokens meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -150,6 +150,7 @@ def _score(known, held_out):
         words, unit, log_count, cls, log_mass, log_next = known.value
         codes, top = Codes(words), len(words)
         first = TaskContext.get().partitionId() << 40
+        ends = int(log_count[0] > 0)  # without training rows the end is new too
 
         def rows():
             for k, (doc_id, text) in enumerate(records(frames)):
@@ -162,7 +163,7 @@ def _score(known, held_out):
                 before = np.concatenate([[0], k_of[:-1]])
                 base = float(got.sum())
                 model = base + float(log_next[before, k_of].sum() - log_mass[k_of].sum())
-                yield first + k, doc_id, held_out(doc_id), len(own), len(own) - len(far), base, model, list(rare), list(rare.values())
+                yield first + k, doc_id, held_out(doc_id), len(own), len(own) - len(far) - 1 + ends, base, model, list(rare), list(rare.values())
 
         yield from batches(rows(), _SCORES, 1024)
 
@@ -192,7 +193,8 @@ def class_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataF
         if room < 0:
             break
         least = r.level
-    known = counts.where((F.octet_length("word") <= LONGEST) & (level >= F.lit(least))) if least is not None else counts.limit(0)
+    frequent = (F.octet_length("word") <= LONGEST) & (level >= F.lit(least)) if least is not None else F.lit(False)
+    known = counts.where(frequent | (F.col("word") == F.lit(bytearray(END))))  # the end is never joined, however rare
     known = sorted(zip(*(c.to_pylist() for c in known.select("word", "n").toArrow().columns)), key=lambda x: (x[0] != END, -x[1], x[0]))
     if not known or known[0][0] != END:
         known.insert(0, (END, 0))
