@@ -129,7 +129,10 @@ def in_training(modulus: int, remainder: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> Network:
-    """Fit on training rows alone. Contradicting labels of a document count as 0; without positives every score is CUT."""
+    """Fit on training rows alone. Contradicting labels of a document count as 0; without positives every score is CUT.
+
+    An id teaches once, however many rows it has: by its text of least hash.
+    """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     ours = known.where(in_training(modulus, remainder))
@@ -142,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
 
     chosen = some(ours.where("quality = 1"), seen.p).select("doc_id", F.lit(True).alias("positive")).unionByName(some(free, plenty).select("doc_id", F.lit(False).alias("positive")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE ids or so
+    rows = rows.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id may hold many rows
     found = rows.select("positive", "text").mapInArrow(_describe, "positive boolean, x array<double>").toArrow()
     model = Network(FEATURES)
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, FEATURES)
