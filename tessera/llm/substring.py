@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, target: int = 35, base: int = BASE) -> DataF
     texts = source
     for k, length in enumerate(levels):
         again = windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = windows.join(again, ["h", "c"]).groupBy("doc_id", "th").agg(F.collect_list("start").alias("places"))
+        found = windows.join(again, ["h", "c"]).groupBy("doc_id", "th").agg(F.collect_set("start").alias("places"))  # repeated rows add nothing
         found = materialize(found)
         held = texts.alias("t").join(found.alias("f"), same(F.col("t.doc_id"), F.col("f.doc_id")) & (F.col("t.th") == F.col("f.th"))).select("t.doc_id", "t.th", "t.text", "f.places")
         if length == target:
