@@ -6,7 +6,8 @@ other way. The class prior is the share of positives among the labelled training
 CUT lies where unlabelled documents are rarest, near the place that has the prior's share of them above it.
 
 The model is fitted on at most about SAMPLE positives and SAMPLE unlabelled documents, chosen by a hash of doc_id;
-priors and counts are of all rows, and every document is scored.
+priors and counts are of all rows, every document is scored, and CUT is placed by the margins of all unlabelled
+training documents (of all positives where none is unlabelled), which reach the driver as a histogram of BINS.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, records
+from .common import batches, records, slices
 
 SAMPLE, HIDDEN, EPOCHS, CUT, SEED = 12_000, 24, 250, 0.7, 11
+BINS = 1 << 16
 #: Marks that are counted one by one.
 MARKS = b"*$&#%|!.,?;:-_=+/\\<>@(){}[]\"'~^"
 FEATURES = 18 + len(MARKS)
@@ -101,20 +103,31 @@ class Network:
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad * grad
                 self.parts[k] = self.parts[k] - 0.03 * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8)
-        self.shift = math.log(CUT / (1 - CUT)) - _valley(np.sort(self.margin(unlabelled)), 1 - prior)
         return self
 
+    def bounds(self) -> tuple[float, float]:
+        """No margin lies outside."""
+        middle, reach = float(self.parts[3][0]), float(np.abs(self.parts[2]).sum()) + 1e-6
+        return middle - reach, middle + reach
 
-def _valley(margins: np.ndarray, share: float) -> float:
-    """The emptiest place of the sorted margins near the quantile of a share."""
-    n = len(margins)
+
+def _valley(n: np.ndarray, least: np.ndarray, most: np.ndarray, share: float) -> float:
+    """The emptiest place of the margins near the quantile of a share, from bins in order: rows, least and greatest margin.
+
+    A bin's rows are taken as evenly spread between its least and its greatest.
+    """
+    last = np.cumsum(n) - 1
+    ranks, values = np.stack([last - n + 1, last], axis=1).ravel(), np.stack([least, most], axis=1).ravel()
+    at = lambda k: np.interp(k, ranks, values)
+    n = int(last[-1]) + 1
     m = max(1, n // 200)
     lo, hi = max(0, int((share - 0.06) * n)), min(n - 1, int((share + 0.02) * n) + m)
     if hi - lo <= m:
-        return float(np.quantile(margins, share))
-    wide = margins[lo + m : hi + 1] - margins[lo : hi + 1 - m]
-    k = lo + int(wide.argmax())
-    return float(margins[k] + margins[k + m]) / 2
+        return float(at(share * (n - 1)))
+    k = np.concatenate([[lo, hi - m], ranks, ranks - m])  # the width is linear between these ranks
+    k = np.unique(k[(k >= lo) & (k <= hi - m)])
+    k = k[(at(k + m) - at(k)).argmax()]
+    return float(at(k) + at(k + m)) / 2
 
 
 _FOUND = pa.schema([("positive", pa.bool_()), ("x", pa.list_(pa.float64()))])
@@ -124,6 +137,15 @@ def _describe(frames):
     yield from batches(((positive, features(text)) for positive, text in records(frames)), _FOUND)
 
 
+def _margins(model: Network):
+    def run(frames):
+        for ids, hashes, texts in slices(frames, 256):
+            margins = model.margin(np.array([features(t) for t in texts]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(margins)], names=["doc_id", "th", "margin"])
+
+    return run
+
+
 def in_training(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != remainder, F.lit(False))
 
@@ -155,7 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
     prior = min(0.99, max(0.01, seen.p / seen.n)) if seen.n else 0.5
     if positive.any():
         other = x[~positive] if (~positive).any() else x
-        return model.fit(x[positive], other, prior)
+        model.fit(x[positive], other, prior)
+        # margins first, so that no join moves texts; an id counts once
+        every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+        every = every.where(in_training(modulus, remainder)).mapInArrow(_margins(model), "doc_id long, th long, margin double")
+        every = every.join(known, "doc_id", "left_anti") if plenty else every.join(ours.where("quality = 1"), "doc_id", "left_semi")
+        every = every.groupBy("doc_id").agg(F.min_by("margin", "th").alias("margin"))
+        least, most = model.bounds()
+        bins = every.groupBy(F.floor((F.col("margin") - least) / (most - least) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("margin").alias("least"), F.max("margin").alias("most")).orderBy("bin").toArrow()  # BINS rows at most
+        model.shift = math.log(CUT / (1 - CUT)) - _valley(*(bins.column(c).to_numpy() for c in ("n", "least", "most")), 1 - prior)
+        return model
     model.parts = [np.zeros_like(w) for w in model.parts]
     model.shift = math.log(CUT / (1 - CUT))
     return model
