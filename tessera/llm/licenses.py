@@ -71,6 +71,10 @@ SINGLE = (
 )
 
 
+# SPDX identifiers that are not the family's short name.
+SPDX = {"mit": "mit", "isc": "isc", "zlib": "zlib", "php": "php", "openssl": "openssl", "python": "psf|python", "ogl": "ogl(?: uk)?"}
+
+
 class Rule(NamedTuple):
     label: str
     keyword: bytes
@@ -88,17 +92,19 @@ def rules() -> tuple[Rule, ...]:
         out.append(Rule(label, keyword.encode(), re.compile(f"(?<= )(?:{pattern})(?= )".encode()), priority, confidence))
 
     for label, keyword, names, short, versions in FAMILIES:
+        ids = SPDX.get(label, short)
+        gate = "licen" if keyword == "licen" else "creative commons"
         for version in versions.split():
             v = version.replace(".", " ") + ("(?: 0)?" if "." not in version else "")
             named = f"{label}-{version}"
-            full = f"(?:{names})(?: (?:version|v|ver))? v?{v}"
-            add(named, "spdx", f"spdx licen[sc]e identifier (?:{short}) v?{v}(?: only| or later| clause)?", 90, 1.0)
-            add(named, "licen", f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{full}(?: (?:or|and) (?:any )?later(?: version)?)?", 80, 0.95)
-            add(named, "licen" if keyword == "licen" else "creative commons", f"{full}(?: (?:or|and) (?:any )?later(?: version)?)?", 70, 0.9)
-            add(named, short if keyword == "licen" else keyword, f"{short} (?:version |v )?v?{v}(?: (?:only|or later|clause|international|unported))?", 60, 0.8)
-        add(label, "licen" if keyword == "licen" else "creative commons", f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{names})", 50, 0.8)
-        add(label, "licen" if keyword == "licen" else "creative commons", names, 40, 0.7)
-        add(label, "spdx", f"spdx licen[sc]e identifier (?:{short})", 85, 0.95)
+            full = f"(?:{names})(?: (?:version|v|ver))? ?v?{v}"
+            add(named, "spdx", f"spdx licen[sc]e identifier (?:{ids}) ?v?{v}(?: only| or later| clause)?", 90, 1.0)
+            add(named, gate, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{full}(?: (?:or|and) (?:any )?later(?: version)?)?", 80, 0.95)
+            add(named, gate, f"{full}(?: (?:or|and) (?:any )?later(?: version)?)?", 70, 0.9)
+            add(named, short if keyword == "licen" else keyword, f"{short} ?(?:version |v )?v?{v}(?: (?:only|or later|clause|international|unported))?", 60, 0.8)
+        add(label, gate, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{names})", 50, 0.8)
+        add(label, gate, names, 40, 0.7)
+        add(label, "spdx", f"spdx licen[sc]e identifier (?:{ids})", 85, 0.95)
         add(label, keyword, f"(?:licen[sc]ed?|released) under (?:a |an |the )?(?:{short})", 45, 0.7)
         if keyword == "cc by":
             add(label, keyword, short, 20, 0.6)
