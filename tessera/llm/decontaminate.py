@@ -56,12 +56,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     """doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, th: a row for each input row.
 
     Null or empty text has no words and no hits; an item without words has no window. Items of one id count once,
-    repeated rows of documents get equal results, extra columns are ignored. An empty benchmark hits nothing, an
+    those without an id too: n_items counts them as one, items leaves them out. Repeated rows of documents get equal results, extra columns are ignored. An empty benchmark hits nothing, an
     empty table gives no rows.
     """
     gram = min(gram, window)
     source = keyed(docs)
-    item_words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0 and item_id is not null")
+    item_words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
     spans = F.when(F.size("w") >= window, F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.slice("w", i, window))).otherwise(F.array("w"))
     item_windows = materialize(item_words.select("item_id", F.explode_outer(spans).alias("v")).distinct())
     windows = item_windows.select("v", F.size("v").alias("n"), F.transform("v", lambda x: F.xxhash64(x)).alias("h")).distinct()
@@ -95,8 +95,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram:
     met = opened.join(near(marks), "f").where((begins >= 0) & (F.slice("near", F.greatest(begins, F.lit(0)) + 1, F.col("n")) == F.col("v")))
     met = materialize(met.select("doc_id", "th", start.alias("start"), "n", "v").distinct())
     covered = met.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("s")).select("doc_id", "th", F.size(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("n_hit"))
-    which = met.select("doc_id", "th", "v").distinct().join(item_windows, "v").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    which = met.select("doc_id", "th", "v").distinct().join(item_windows, "v").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("nameless"))
     t, c, i = traced.alias("t"), covered.alias("c"), which.alias("i")
     on = lambda y: same(F.col("t.doc_id"), F.col(f"{y}.doc_id")) & (F.col("t.th") == F.col(f"{y}.th"))
-    out = t.join(c, on("c"), "left").join(i, on("i"), "left").select("t.doc_id", "t.n_words", F.coalesce("c.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("i.items", F.array().cast("array<string>")).alias("items"), "t.th")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "th")
+    out = t.join(c, on("c"), "left").join(i, on("i"), "left").select("t.doc_id", "t.n_words", F.coalesce("c.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("i.items", F.array().cast("array<string>")).alias("items"), F.coalesce("i.nameless", F.lit(0)).alias("nameless"), "t.th")
+    return out.select("doc_id", "n_words", "n_hit", (F.size("items") + F.col("nameless")).cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "th")
