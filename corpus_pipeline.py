@@ -32,8 +32,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near-duplicates: five words, a similarity of 0.8 or more."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """The document of least doc_id of each group of near-duplicates: five words, a similarity of 0.8 or more.
+
+    Of a group's rows with that id (or all without one) the text of least hash stays, in one row. Texts without words
+    are in no group and all stay.
+    """
+    found = materialize(near_duplicates(docs).select("doc_id", "th", "kept", "root"))
+    texts = found.where("kept and root is not null").groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    many = texts.groupBy("root").agg(F.min("th").alias("least"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    texts = materialize(texts.join(many, "root"))
+    twice = texts.where("th = least and n > 1")
+    gone = found.where("not kept").select("doc_id", "th").union(texts.where("th != least or n > 1").select("doc_id", "th"))
+    key = [F.col("doc_id").cast("long").alias("key_id"), F.xxhash64(F.col("text").cast("string")).alias("key_th")]
+    again = twice.select(F.col("doc_id").alias("twice_id"), F.col("th").alias("twice_th"))
+    copies = docs.select("*", *key).join(again, F.col("key_id").eqNullSafe(F.col("twice_id")) & (F.col("key_th") == F.col("twice_th")), "left_semi")
+    single = copies.groupBy("key_id", "key_th").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")  # one row a key leaves each task
+    return _without(docs, gone).unionByName(single)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,12 +161,14 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and th, one row for each input row; columns besides doc_id and text are ignored.
+    """doc_id, n_shingles, component_id, kept, th and root, one row for each input row; columns besides doc_id and text are ignored.
 
     Linked are documents whose sets of lower-cased word shingles have denominator * intersection >= numerator * union.
     Null, empty or blank text: no shingles, a component of its own. Fewer words than a shingle: their sequence is the
     one shingle. Equal texts, repeated rows included, are linked. A null doc_id counts as larger than any other and
     comes back as null. An empty table gives no rows.
+
+    root tells components apart where ids repeat or are null; it is null for rows without shingles.
     """
     threshold = numerator / denominator
     bands = bands_for(threshold)
@@ -225,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
 
     roots = classes.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = roots.join(least, "root").select("set_id", "component_id")
+    labels = roots.join(least, "root").select("set_id", "component_id", "root")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     out = sketches.select("doc_id", "th", "n_shingles", "set_id").join(labels, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), "th")
+    return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), "th", "root")

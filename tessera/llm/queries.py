@@ -23,7 +23,7 @@ BAD_HOST = "spam|pills|casino|malware|phish|warez"
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, numerator=85).drop("th")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, numerator=85).drop("th", "root")
 
 
 def op2_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
