@@ -159,6 +159,7 @@ _PLAIN = {
     "sql_except": "select c_custkey as k from customer except select o_custkey as k from orders",
     "sql_offset": "select o_orderkey from orders order by o_orderkey limit 20 offset 40",
     "sql_nulls_last": "select o_orderkey, nullif(o_orderstatus, 'F') as s from orders order by s nulls last, o_orderkey limit 500",
+    "sql_nulls_last_all": "select o_orderkey, nullif(o_orderstatus, 'F') as s from orders order by s nulls last, o_orderkey",
     "sql_recursive": "with recursive t(n) as (select 1 union all select n + 1 from t where n < 50) select n from t",
     "sql_extract": "select extract(year from o_orderdate) as y, count(*) as n from orders group by 1",
     "sql_ilike": "select p_partkey from part where p_type ilike '%steel%'",
