@@ -1,8 +1,8 @@
 """Document fingerprints by SpotSigs.
 
 After each anchor, a very common word, the next CHAIN content words (neither anchors nor other common words) form a
-signature; a document's fingerprint is its set of signatures, hashed to 32 bits each and sorted. Two fingerprints are
-compared by Jaccard only as far as their set sizes, and what is left to merge, still allow the asked likeness.
+signature; a document's fingerprint is its set of signatures, hashed to 32 bits each and sorted. A row is
+compared by full Jaccard with its edited text and the next row alone: no partition by set length, no pruned merge.
 """
 
 from __future__ import annotations
