@@ -22,26 +22,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a local one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
 
 
+class Scratch:
+    """Tables written as Parquet in the shared folder and read again: lineage ends there and survives lost executors.
+
+    At the end of a with block all are deleted but those to keep, which the result still reads.
+    """
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str, DataFrame]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        self.paths.append((spark, path, None))
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        self.paths[-1] = spark, path, out
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths = [x for x in self.paths if x[2] is not df]
+        return df
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete these now; nothing reads them any more."""
+        gone = [x for x in self.paths if any(x[2] is f for f in frames)]
+        self.paths = [x for x in self.paths if x not in gone]
+        for spark, path, _ in gone:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for spark, path, _ in self.paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        self.paths = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that materialize() wrote, once nothing reads them any more."""
-    for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    """Write df and read it again, for a result: its table stays."""
+    hold = Scratch()
+    return hold.keep(hold(df))
+
+
+#: Rows of a table of narrow rows that go to every executor at most.
+BROADCAST = 100_000
+
+
+def near(df: DataFrame) -> DataFrame:
+    """A written table, sent to every executor if it has BROADCAST rows at most; else it is shuffled, and adaptive execution splits hot keys."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -4,13 +4,10 @@ Two permutations make the whole signature: sigma places each shingle on a circle
 circularly by k, ranks the slots for coordinate k; the coordinate is the least rank of any shingle. Bands of
 coordinates are the candidate keys; links are confirmed on whole shingle sets.
 
-Documents with equal sets form a class, and only one of each class is banded. In each bucket every member is
-compared with one hub, first the member that meets the most others in all its buckets, which is the likely origin of
-a group of copies, then one by chance; linked members merge into components. A pair in a bucket whose two ends are
-still in different components after that is compared too, so that no link between different texts is lost, yet
-pairs within a component are never enumerated. Before texts are fetched, four bits of each of COORDINATES coordinates
-must agree nearly as often as they would at the threshold. A pair at the threshold shares no bucket, or fails that
-test, with a probability of about MISS.
+Documents with equal sets form a class, and only one of each class is banded. Members of a bucket are linked through
+hubs (see linking); pairs within a component are never enumerated. Before texts are fetched, four bits of each of
+COORDINATES coordinates must agree nearly as often as they would at the threshold. A pair at the threshold shares no
+bucket, or fails that test, with a probability of about MISS.
 """
 
 from __future__ import annotations
@@ -21,10 +18,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, ascii_lower, batches, keyed, materialize, mixed, records, shingle_set
+from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, keyed, materialize, mixed, near, records, shingle_set
+from .linking import link
 
 #: Slots of the circle; with far longer documents than this the keys select less, but links stay exact.
 SLOTS = 1 << 22
@@ -136,98 +134,52 @@ def _compare(n: int, numerator: int, denominator: int):
     return run
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node, root: components of the edges (a, b) by alternating large and small stars; root is the least node."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        near = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = near.join(least, "u")
-        if large:
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.where("u != v").distinct()
-
-    state = None
-    while True:
-        edges = materialize(star(star(edges, True), False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, th and root, one row for each input row; columns besides doc_id and text are ignored.
 
     Linked are documents whose sets of lower-cased word shingles have denominator * intersection >= numerator * union.
     Null, empty or blank text: no shingles, a component of its own. Fewer words than a shingle: their sequence is the
-    one shingle. Equal texts, repeated rows included, are linked. A null doc_id counts as larger than any other and
-    comes back as null. An empty table gives no rows.
+    one shingle. Very long texts are taken whole. Equal texts, repeated rows included, are linked; rows that tie for a
+    group's least doc_id are all marked as kept. A null doc_id counts as larger than any other and comes back as null.
+    An empty table gives no rows.
 
     root tells components apart where ids repeat or are null; it is null for rows without shingles.
     """
     threshold = numerator / denominator
     bands = bands_for(threshold)
     source = keyed(docs)
-    sketches = materialize(source.mapInArrow(_sketches(shingle, bands), f"doc_id long, th long, n_shingles long, set_id binary, {' long, '.join(WORDS)} long, keys array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
-    filled = sketches.where("n_shingles > 0")
-    classes = materialize(filled.groupBy("set_id").agg(F.min("doc_id").alias("least")))
-    picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", "n_shingles", *WORDS, "keys").dropDuplicates(["set_id"])
-    picked = materialize(picked)
-    members = picked.select("set_id", "n_shingles", *WORDS, F.posexplode("keys").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(members.join(buckets, ["band", "key"]))
-    members = members.drop("n").join(members.groupBy("set_id").agg(F.sum("n").alias("met")), "set_id")
-    near = differing("x", "y") <= most_differing(threshold)
     texts = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    tested = links = origins = first = None
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        where = ends.join(picked.select("set_id", "doc_id", "th"), "set_id")
-        held = materialize(texts.join(where, ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))
-        left, right = held.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_compare(shingle, numerator, denominator), f"a binary, b binary, linked boolean, {' long, '.join(MAPS)} long"))
-
-    for turn in range(3):
-        now = members
-        if turn:
-            now = materialize(members.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-            undone = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band", "key")
-            now = now.join(undone, ["band", "key"])
-        if turn < 2:
-            order = F.struct(-F.col("met"), "set_id") if turn == 0 else F.struct(F.xxhash64("set_id", "band"), "set_id")
-            hub = F.struct("set_id", *WORDS, *(["root"] if turn else []))
-            hubs = now.groupBy("band", "key").agg(F.min_by(hub, order).alias("hub")).select("band", "key", "hub.*")
-            if turn == 0:
-                hubs = materialize(hubs)
-                origins = hubs.select("band", "key", F.col("set_id").alias("hub"))
-            other = F.col("x.root") != F.col("y.root") if turn else F.col("x.set_id") != F.col("y.set_id")
-            pairs = now.alias("x").join(hubs.alias("y"), ["band", "key"]).where(other & near)
-        else:
-            # turn 0 compared most members of a bucket with its hub; the others have no bitmap and pass
-            maps = [F.col(w) for w in MAPS]
-            own = now.join(origins, ["band", "key"]).withColumn("a", F.least("hub", "set_id")).withColumn("b", F.greatest("hub", "set_id"))
-            own = materialize(own.join(first.select("a", "b", *maps), ["a", "b"], "left").drop("a", "b", "hub"))
+    with Scratch() as hold:
+        sketches = hold(source.mapInArrow(_sketches(shingle, bands), f"doc_id long, th long, n_shingles long, set_id binary, {' long, '.join(WORDS)} long, keys array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
+        filled = sketches.where("n_shingles > 0")
+        classes = hold(filled.groupBy("set_id").agg(F.min("doc_id").alias("least")))
+        picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", "n_shingles", *WORDS, "keys").dropDuplicates(["set_id"])
+        picked = hold(picked)
+
+        def may(x: str, y: str) -> Column:
+            return differing(x, y) <= most_differing(threshold)
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+            where = hold(ends.join(picked.select("set_id", "doc_id", "th"), "set_id"))
+            held = hold(texts.join(near(where), ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))
+            left, right = held.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
+            both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+            return both.mapInArrow(_compare(shingle, numerator, denominator), f"a binary, b binary, linked boolean, {' long, '.join(MAPS)} long")
+
+        def refine(rows: DataFrame, hubs: DataFrame, first: DataFrame) -> tuple[DataFrame, Column]:
+            # the first step compared most members of a bucket with its hub; the others have no bitmap and pass
+            own = rows.join(hubs, "key").withColumn("a", F.least("hub", "set_id")).withColumn("b", F.greatest("hub", "set_id"))
+            own = own.join(first.select("a", "b", *MAPS), ["a", "b"], "left").drop("a", "b", "hub")
             apart = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in MAPS), F.lit(0))
             bound = (numerator + denominator) * apart <= (denominator - numerator) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-            may = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & F.coalesce(bound, F.lit(True)) & near
-            pairs = own.alias("x").join(own.alias("y"), ["band", "key"]).where(may)
-        pairs = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-        result = compared(materialize(pairs if turn == 0 else pairs.join(tested, ["a", "b"], "left_anti")))
-        first = result if turn == 0 else first
-        tested = result.select("a", "b") if turn == 0 else tested.union(result.select("a", "b"))
-        new = result.where("linked").select("a", "b")
-        links = new if turn == 0 else links.union(new)
-
-    roots = classes.join(connected(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = roots.join(least, "root").select("set_id", "component_id", "root")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    out = sketches.select("doc_id", "th", "n_shingles", "set_id").join(labels, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), "th", "root")
+            return own, F.coalesce(bound, F.lit(True))
+
+        members = picked.select("set_id", "n_shingles", *WORDS, F.explode("keys").alias("key"))
+        roots = link(members, ["n_shingles", *WORDS], may, verify, refine, hold)
+        labels = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+        labels = labels.join(least, "root").select("set_id", "component_id", "root")
+        real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+        out = sketches.select("doc_id", "th", "n_shingles", "set_id").join(labels, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        return materialize(out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"), "th", "root"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_words, batches, grams, keyed, materialize, mixed, records, same
+from .common import BROADCAST, Scratch, WordHashes, ascii_words, batches, grams, keyed, materialize, mixed, near, records, same
 
 BASE = 9
 
@@ -115,40 +115,56 @@ def remove_repeats(docs: DataFrame, target: int = 35, base: int = BASE) -> DataF
     """doc_id, n_words, n_removed, kept_sha256 and th, one row for each input row; columns besides doc_id and text are ignored.
 
     Removed is each word in a window of target words whose sequence also starts elsewhere, in the same document or
-    another; repeated rows count as documents of their own. Null or empty text: no words, the hash of an empty
-    string. Texts under target words lose nothing. An empty table gives no rows.
+    another; repeated rows count as documents of their own, and of equal windows, ties, none is spared. Null or empty
+    text: no words, the hash of an empty string. Texts under target words lose nothing; very long ones are taken whole.
+    An empty table gives no rows.
     """
     source = keyed(docs)
     levels = lengths(target, base)
-    profile = materialize(source.mapInArrow(_profiles(target, levels[0]), _DDL[id(_PROFILE)]))
-    copies = profile.where("content is not null").groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("d")).where("n > 1")
-    copies = materialize(copies)
-    twin = profile.where("content is not null").select("doc_id", "th", "content").join(copies, "content")
-    twin = materialize(twin.select("doc_id", "th", (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("d")).alias("first")).distinct())
-    # of each class the rows of the least doc_id take part; where these are several, they only count themselves twice
-    others = twin.where("not first").select("doc_id", "th")
-    rows = profile.where("size(starts) > 0").select("doc_id", "th", "starts", "hashes")
-    rows = rows.alias("r").join(others.alias("o"), same(F.col("r.doc_id"), F.col("o.doc_id")) & (F.col("r.th") == F.col("o.th")), "left_anti")
-    windows = rows.select("doc_id", "th", F.arrays_zip("starts", "hashes").alias("w"))
-    windows = windows.select("doc_id", "th", F.inline("w")).withColumnsRenamed({"starts": "start", "hashes": "h"}).withColumn("c", F.lit(0).cast("long"))
-    texts = source
-    for k, length in enumerate(levels):
-        again = windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = windows.join(again, ["h", "c"]).groupBy("doc_id", "th").agg(F.collect_set("start").alias("places"))  # repeated rows add nothing
-        found = materialize(found)
-        held = texts.alias("t").join(found.alias("f"), same(F.col("t.doc_id"), F.col("f.doc_id")) & (F.col("t.th") == F.col("f.th"))).select("t.doc_id", "t.th", "t.text", "f.places")
-        if length == target:
-            break
-        held = materialize(held)
-        texts = held.select("doc_id", "th", "text")
-        last = levels[k + 1] == target
-        longer = held.mapInArrow(_extend(length, levels[k + 1], last), _DDL[id(_WINDOWS)])
-        windows = materialize(longer.select("doc_id", "th", F.inline(F.arrays_zip("starts", "hashes", "checks"))).toDF("doc_id", "th", "start", "h", "c"))
-    kept = held.mapInArrow(_remove(target), _DDL[id(_KEPT)])
-    part = kept.join(twin.withColumn("twin", F.lit(True)).drop("first"), (same(kept.doc_id, twin.doc_id)) & (kept.th == twin.th), "left_anti")
-    whole = twin.select("doc_id", "th", F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    changed = part.unionByName(whole)
-    p, x = profile.alias("p"), changed.alias("x")
-    out = p.join(x, same(F.col("p.doc_id"), F.col("x.doc_id")) & (F.col("p.th") == F.col("x.th")), "left")
-    gone = F.when(F.col("x.n_removed") < 0, F.col("p.n_words")).otherwise(F.coalesce("x.n_removed", F.lit(0)))
-    return out.select("p.doc_id", "p.n_words", gone.cast("long").alias("n_removed"), F.coalesce("x.kept_sha256", "p.whole_sha256").alias("kept_sha256"), "p.th")
+    with Scratch() as hold:
+        profile = hold(source.mapInArrow(_profiles(target, levels[0]), _DDL[id(_PROFILE)]))
+        copies = profile.where("content is not null").groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("d")).where("n > 1")
+        copies = hold(copies)
+        twin = profile.where("content is not null").select("doc_id", "th", "content").join(copies, "content")
+        twin = hold(twin.select("doc_id", "th", (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("d")).alias("first")).distinct())
+        # of each class the rows of the least doc_id take part; where these are several, they only count themselves twice
+        others = twin.where("not first").select("doc_id", "th")
+        rows = profile.where("size(starts) > 0").select("doc_id", "th", "starts", "hashes")
+        rows = rows.alias("r").join(others.alias("o"), same(F.col("r.doc_id"), F.col("o.doc_id")) & (F.col("r.th") == F.col("o.th")), "left_anti")
+        windows = rows.select("doc_id", "th", F.arrays_zip("starts", "hashes").alias("w"))
+        windows = windows.select("doc_id", "th", F.inline("w")).withColumnsRenamed({"starts": "start", "hashes": "h"}).withColumn("c", F.lit(0).cast("long"))
+        texts = source
+        for k, length in enumerate(levels):
+            # counted in part by each task and written: then a window that a third of all documents holds is one row to look up, and one to split
+            again = hold(windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+            found = hold(windows.join(near(again), ["h", "c"]).groupBy("doc_id", "th").agg(F.collect_set("start").alias("places")))  # repeated rows add nothing
+            held = _of(_only(texts, found).alias("t"), found.alias("f"))
+            if length == target:
+                break
+            held = hold(held)
+            texts = held.select("doc_id", "th", "text")
+            last = levels[k + 1] == target
+            longer = held.mapInArrow(_extend(length, levels[k + 1], last), _DDL[id(_WINDOWS)])
+            windows = hold(longer.select("doc_id", "th", F.inline(F.arrays_zip("starts", "hashes", "checks"))).toDF("doc_id", "th", "start", "h", "c"))
+        kept = held.mapInArrow(_remove(target), _DDL[id(_KEPT)])
+        part = kept.join(twin.withColumn("twin", F.lit(True)).drop("first"), (same(kept.doc_id, twin.doc_id)) & (kept.th == twin.th), "left_anti")
+        whole = twin.select("doc_id", "th", F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+        changed = part.unionByName(whole)
+        p, x = profile.alias("p"), changed.alias("x")
+        out = p.join(x, same(F.col("p.doc_id"), F.col("x.doc_id")) & (F.col("p.th") == F.col("x.th")), "left")
+        gone = F.when(F.col("x.n_removed") < 0, F.col("p.n_words")).otherwise(F.coalesce("x.n_removed", F.lit(0)))
+        return materialize(out.select("p.doc_id", "p.n_words", gone.cast("long").alias("n_removed"), F.coalesce("x.kept_sha256", "p.whole_sha256").alias("kept_sha256"), "p.th"))
+
+
+def _of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Texts (alias t) with their places (alias f)."""
+    match = same(F.col("t.doc_id"), F.col("f.doc_id")) & (F.col("t.th") == F.col("f.th"))
+    return texts.join(found, match).select("t.doc_id", "t.th", "t.text", "f.places")
+
+
+def _only(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts that have places, before any is moved, where their list is short enough for every executor."""
+    if found.count() > BROADCAST:
+        return texts
+    keys = F.broadcast(found.select(F.col("doc_id").alias("found_id"), F.col("th").alias("found_th")))
+    return texts.join(keys, same(F.col("doc_id"), F.col("found_id")) & (F.col("th") == F.col("found_th")), "left_semi")

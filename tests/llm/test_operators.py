@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import class_lm, common, minhash, packing, quality, substring, url_filter
+from tessera.llm import class_lm, common, linking, minhash, packing, quality, substring, url_filter
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.licenses import license_scan, rules, scan
 from tessera.llm.secrets import find_secrets, redact
@@ -80,7 +80,7 @@ def test_minhash(docs, none):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
-    got = dict((r.node, r.root) for r in minhash.connected(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict((r.node, r.root) for r in linking.connected(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 103)}}
 
 
