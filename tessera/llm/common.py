@@ -47,6 +47,10 @@ class Scratch:
         self.paths[-1] = spark, path, out
         return out
 
+    @property
+    def tables(self) -> list[DataFrame]:
+        return [x[2] for x in self.paths]
+
     def keep(self, df: DataFrame) -> DataFrame:
         self.paths = [x for x in self.paths if x[2] is not df]
         return df
@@ -75,15 +79,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return hold.keep(hold(df))
 
 
-#: Rows of a table of narrow rows that go to every executor at most.
-BROADCAST = 100_000
-
-
-def near(df: DataFrame) -> DataFrame:
-    """A written table, sent to every executor if it has BROADCAST rows at most; else it is shuffled, and adaptive execution splits hot keys."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, th and text: rows that agree in doc_id and th (the text's hash) are copies of one row and get equal results."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST, Scratch, materialize, near
+from .common import Scratch, materialize
 
 #: Members of a share of a bucket.
 SHARE = 512
@@ -27,11 +27,10 @@ def connected(edges: DataFrame, write: Callable[[DataFrame], DataFrame] = materi
     with Scratch() as hold:
         edges = hold(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
 
-        def star(e: DataFrame, n: int, large: bool) -> DataFrame:
+        def star(e: DataFrame, large: bool) -> DataFrame:
             both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            # at most 2 * n rows; where they are many they are written, so that adaptive execution can split a hub
-            least = F.broadcast(least) if 2 * n <= BROADCAST else hold(least)
+            # written, so that both sides of the join come straight from a shuffle and adaptive execution can split a hub
+            least = hold(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
             joined = both.join(least, "u")
             if large:
                 out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -39,14 +38,14 @@ def connected(edges: DataFrame, write: Callable[[DataFrame], DataFrame] = materi
                 out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
             return out.where("u != v").distinct()
 
-        state, n = None, edges.count()
+        state = None
         while True:
-            old, edges = edges, hold(star(star(edges, n, True), n, False))
-            hold.drop(old)
+            edges = hold(star(hold(star(edges, True)), False))
+            hold.drop(*hold.tables[:-1])
             now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if now == state:
                 break
-            state, n = now, now[0]
+            state = now
         return write(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()))
 
 
@@ -72,7 +71,7 @@ def link(members: DataFrame, payload: list[str], may: Callable[[str, str], Colum
     """
     with Scratch() as hold:
         several = hold(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        rows = hold(members.join(near(several), "key"))
+        rows = hold(members.join(several, "key"))
         met = rows.groupBy("set_id").agg(F.sum("n").alias("met"))
         rows = hold(rows.drop("n").join(met, "set_id"))
         roots = tested = first = origins = None
@@ -84,7 +83,7 @@ def link(members: DataFrame, payload: list[str], may: Callable[[str, str], Colum
                 else:
                     now = rows.withColumn("root", F.col("set_id"))
                 undone = hold(now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("key", F.ceil(F.col("m") / SHARE).cast("int").alias("shares")))
-                now = now.join(near(undone), "key")
+                now = now.join(undone, "key")
             if turn < 2:
                 order = F.struct(-F.col("met"), "set_id") if turn == 0 else F.struct(F.xxhash64("set_id", "key"), "set_id")
                 hub = F.struct("set_id", *payload, *(["root"] if turn else []))
@@ -92,7 +91,7 @@ def link(members: DataFrame, payload: list[str], may: Callable[[str, str], Colum
                 if turn == 0:
                     origins = hubs.select("key", F.col("set_id").alias("hub"))
                 other = F.col("x.root") != F.col("y.root") if turn else F.col("x.set_id") != F.col("y.set_id")
-                pairs = now.alias("x").join(near(hubs).alias("y"), "key").where(other & may("x", "y"))
+                pairs = now.alias("x").join(hubs.alias("y"), "key").where(other & may("x", "y"))
             else:
                 own, more = refine(now, origins, first) if refine else (now, F.lit(True))
                 own = hold(own)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, keyed, materialize, mixed, near, records, shingle_set
+from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, keyed, materialize, mixed, records, shingle_set
 from .linking import link
 
 #: Slots of the circle; with far longer documents than this the keys select less, but links stay exact.
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
         def verify(pairs: DataFrame) -> DataFrame:
             ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
             where = hold(ends.join(picked.select("set_id", "doc_id", "th"), "set_id"))
-            held = hold(texts.join(near(where), ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))
+            held = hold(texts.join(where, ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))
             left, right = held.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
             both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
             return both.mapInArrow(_compare(shingle, numerator, denominator), f"a binary, b binary, linked boolean, {' long, '.join(MAPS)} long")

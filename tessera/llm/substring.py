@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST, Scratch, WordHashes, ascii_words, batches, grams, keyed, materialize, mixed, near, records, same
+from .common import Scratch, WordHashes, ascii_words, batches, grams, keyed, materialize, mixed, records, same
 
 BASE = 9
 
@@ -135,14 +135,16 @@ def remove_repeats(docs: DataFrame, target: int = 35, base: int = BASE) -> DataF
         windows = windows.select("doc_id", "th", F.inline("w")).withColumnsRenamed({"starts": "start", "hashes": "h"}).withColumn("c", F.lit(0).cast("long"))
         texts = source
         for k, length in enumerate(levels):
-            # counted in part by each task and written: then a window that a third of all documents holds is one row to look up, and one to split
+            # counted in part by each task and written, so that the join reads two plain shuffles and adaptive execution can split a window that many documents hold
             again = hold(windows.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-            found = hold(windows.join(near(again), ["h", "c"]).groupBy("doc_id", "th").agg(F.collect_set("start").alias("places")))  # repeated rows add nothing
-            held = _of(_only(texts, found).alias("t"), found.alias("f"))
+            found = hold(windows.join(again, ["h", "c"]).groupBy("doc_id", "th").agg(F.collect_set("start").alias("places")))  # repeated rows add nothing
+            hold.drop(again, windows)
+            held = _of(texts.alias("t"), found.alias("f"))
             if length == target:
                 break
-            held = hold(held)
-            texts = held.select("doc_id", "th", "text")
+            old, held = texts, hold(held)
+            hold.drop(old, found)
+            texts = held
             last = levels[k + 1] == target
             longer = held.mapInArrow(_extend(length, levels[k + 1], last), _DDL[id(_WINDOWS)])
             windows = hold(longer.select("doc_id", "th", F.inline(F.arrays_zip("starts", "hashes", "checks"))).toDF("doc_id", "th", "start", "h", "c"))
@@ -160,11 +162,3 @@ def _of(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Texts (alias t) with their places (alias f)."""
     match = same(F.col("t.doc_id"), F.col("f.doc_id")) & (F.col("t.th") == F.col("f.th"))
     return texts.join(found, match).select("t.doc_id", "t.th", "t.text", "f.places")
-
-
-def _only(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """The texts that have places, before any is moved, where their list is short enough for every executor."""
-    if found.count() > BROADCAST:
-        return texts
-    keys = F.broadcast(found.select(F.col("doc_id").alias("found_id"), F.col("th").alias("found_th")))
-    return texts.join(keys, same(F.col("doc_id"), F.col("found_id")) & (F.col("th") == F.col("found_th")), "left_semi")

@@ -8,11 +8,13 @@ from tessera.llm import common, linking, minhash, substring
 
 
 @pytest.fixture
-def no_broadcast(monkeypatch):
+def no_broadcast(spark, monkeypatch):
     """As if every table were larger than what executors are sent."""
-    for module in (common, linking, substring):
-        monkeypatch.setattr(module, "BROADCAST", 0)
     monkeypatch.setattr(linking, "SHARE", 16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def grouped(rows, shingle, numerator):
