@@ -62,18 +62,24 @@ def merged(roots: DataFrame | None, links: DataFrame, hold: Scratch) -> DataFram
     return hold(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")))
 
 
-def link(members: DataFrame, payload: list[str], may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], refine: Callable | None = None, write: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+def bucketed(members: DataFrame, hold: Scratch) -> DataFrame:
+    """The rows (set_id, key, ...) whose key several nodes have, with met, the places that a node meets others or itself in."""
+    several = hold(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = hold(members.join(several, "key"))
+    met = rows.groupBy("set_id").agg(F.sum("n").alias("met"))
+    out = hold(rows.drop("n").join(met, "set_id"))
+    hold.drop(several, rows)
+    return out
+
+
+def link(rows: DataFrame, payload: list[str], may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], refine: Callable | None = None, write: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """node, root of all nodes that have a link; root is a component's least node.
 
-    members: set_id, key and payload, a row for each key of a node. may(x, y): whether rows of these aliases can be
+    rows: set_id, key, met and payload, of bucketed(). may(x, y): whether rows of these aliases can be
     alike. verify(pairs): a, b, linked for pairs (a, b). refine(rows, hubs, first): rows with further columns for the last
     step and a further condition on rows x and y, from the hubs (key, hub) and the verified pairs of the first step.
     """
     with Scratch() as hold:
-        several = hold(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        rows = hold(members.join(several, "key"))
-        met = rows.groupBy("set_id").agg(F.sum("n").alias("met"))
-        rows = hold(rows.drop("n").join(met, "set_id"))
         roots = tested = first = origins = None
         for turn in range(3):
             now = rows

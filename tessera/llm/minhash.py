@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, keyed, materialize, mixed, records, shingle_set
-from .linking import link
+from .linking import bucketed, link
 
 #: Slots of the circle; with far longer documents than this the keys select less, but links stay exact.
 SLOTS = 1 << 22
@@ -156,13 +156,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
         picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", "n_shingles", *WORDS, "keys").dropDuplicates(["set_id"])
         picked = hold(picked)
 
+        members = picked.select("set_id", "n_shingles", *WORDS, F.explode("keys").alias("key"))
+        rows = bucketed(members, hold)
+        # the whole texts move once; later only those of nodes that share a key with another
+        where = rows.select("set_id").distinct().join(picked.select("set_id", "doc_id", "th"), "set_id")
+        texts = hold(texts.join(where.hint("merge"), ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))
+
         def may(x: str, y: str) -> Column:
             return differing(x, y) <= most_differing(threshold)
 
         def verify(pairs: DataFrame) -> DataFrame:
             ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-            where = hold(ends.join(picked.select("set_id", "doc_id", "th"), "set_id"))
-            held = hold(texts.join(where, ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))
+            held = hold(texts.join(ends.hint("merge"), "set_id", "left_semi"))
             left, right = held.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
             both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
             return both.mapInArrow(_compare(shingle, numerator, denominator), f"a binary, b binary, linked boolean, {' long, '.join(MAPS)} long")
@@ -175,8 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
             bound = (numerator + denominator) * apart <= (denominator - numerator) * (F.col("x.n_shingles") + F.col("y.n_shingles"))
             return own, F.coalesce(bound, F.lit(True))
 
-        members = picked.select("set_id", "n_shingles", *WORDS, F.explode("keys").alias("key"))
-        roots = link(members, ["n_shingles", *WORDS], may, verify, refine, hold)
+        roots = link(rows, ["n_shingles", *WORDS], may, verify, refine, hold)
         labels = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
         labels = labels.join(least, "root").select("set_id", "component_id", "root")
