@@ -64,10 +64,10 @@ def merged(roots: DataFrame | None, links: DataFrame, hold: Scratch) -> DataFram
 
 def bucketed(members: DataFrame, hold: Scratch) -> DataFrame:
     """The rows (set_id, key, ...) whose key several nodes have, with met, the places that a node meets others or itself in."""
-    several = hold(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    several = hold(members.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1"))
     rows = hold(members.join(several, "key"))
-    met = rows.groupBy("set_id").agg(F.sum("n").alias("met"))
-    out = hold(rows.drop("n").join(met, "set_id"))
+    met = rows.groupBy("set_id").agg(F.sum("in_bucket").alias("met"))
+    out = hold(rows.drop("in_bucket").join(met, "set_id"))
     hold.drop(several, rows)
     return out
 

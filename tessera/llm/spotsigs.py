@@ -1,21 +1,30 @@
 """Document fingerprints by SpotSigs.
 
 After each anchor, a very common word, the next CHAIN content words (neither anchors nor other common words) form a
-signature; a document's fingerprint is its set of signatures, hashed to 32 bits each and sorted. A row is
-compared by full Jaccard with its edited text and the next row alone: no partition by set length, no pruned merge.
+signature; a document's fingerprint is its set of signatures, sorted. Texts without a full chain are signed by their
+pairs of neighbouring words.
+
+Near pairs of the whole corpus are found by length: sets are dealt to partitions whose bounds grow by the threshold,
+so that an alike pair lies in one partition or in two that follow each other. Within a partition sets meet by the
+signatures of their prefix, rare ones first, and are compared by a Jaccard likeness that stops as soon as what is left
+can't reach the threshold.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ascii_lower, batches, mixed, records
+from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, grams, mixed, records
+from .linking import bucketed, link
 
 CHAIN = 3
 # Anchors, and further common words that are no content, of English, German, French and Spanish.
@@ -24,8 +33,15 @@ COMMON = "and in that it for on with as be by this at are from or an he his und
 _STRIP = bytes(0x20 if c < 0x80 and not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A) else c for c in range(256))
 
 
+#: Bits of a set's bitmap, and signatures that may be known as frequent (8 MB for every worker).
+BITS, FREQUENT = 512, 1_000_000
+MAPS = [f"m{i}" for i in range(BITS // 64)]
+#: Documents of one prefix signature from which on it may be put behind rarer ones.
+COMMON_FROM = 64
+
+
 class Signer:
-    """Text -> sorted 32-bit signatures. Texts without any are signed by their whole word sequence; blank ones by nothing."""
+    """Text -> sorted signatures. Texts without a full chain are signed by their pairs of words, a lone word by itself; blank ones by nothing."""
 
     def __init__(self):
         self.words = WordHashes()
@@ -33,9 +49,14 @@ class Signer:
         self.common = np.sort(self.words.of([w.encode() for w in {*ANCHORS, *COMMON}]))
 
     def of(self, text: str | None) -> np.ndarray:
+        """The fingerprint's signatures of 32 bits."""
+        return np.unique((self.whole(text) >> np.uint64(32)).astype(np.uint32))
+
+    def whole(self, text: str | None) -> np.ndarray:
+        """Signatures of 64 bits."""
         h = self.words.of(ascii_lower(text).translate(_STRIP).split())
         if not len(h):
-            return np.empty(0, np.uint32)
+            return np.empty(0, np.uint64)
         content = h[~_among(h, self.common)]
         before = np.cumsum(~_among(h, self.common))
         at = np.flatnonzero(_among(h, self.anchor))
@@ -43,12 +64,12 @@ class Signer:
         ok = start + CHAIN <= len(content)
         at, start = at[ok], start[ok]
         if not len(at):
-            acc = mixed(np.array([len(h)], np.uint64) ^ np.bitwise_xor.reduce(mixed(h + np.arange(1, len(h) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+            acc = grams(h, min(2, len(h)))
         else:
             acc = h[at]
             for j in range(CHAIN):
                 acc = mixed(acc ^ content[start + j])
-        return np.unique((acc >> np.uint64(32)).astype(np.uint32))
+        return np.unique(acc)
 
 
 def _among(h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -65,77 +86,242 @@ def read(fingerprint: str) -> np.ndarray:
 
 
 def likeness(x: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two sorted sets; 0 where it can't reach `least`. Two empty sets are alike."""
+    """Jaccard of two sorted sets; 0 where it doesn't reach `least`, which sizes or a part of the sets may tell. Two empty sets are alike."""
     if not len(x) and not len(y):
         return 1.0
-    small, large = sorted((len(x), len(y)))
-    if small < least * large or not small:
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(x) or len(x) < least * len(y) - 1e-9:
         return 0.0
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    need, both = least / (1 + least) * (len(x) + len(y)) - 1e-9, 0
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        both += int((y[np.minimum(np.searchsorted(y, part), len(y) - 1)] == part).sum())
+        if both + len(x) - at - len(part) < need:
+            return 0.0
     jaccard = both / (len(x) + len(y) - both)
     return jaccard if jaccard >= least else 0.0
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def lengths(least: float) -> np.ndarray:
+    """Where the partitions by set size begin: an alike pair lies in one or in two that follow each other."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(math.floor(out[-1] / least + 1e-9) + 1)
+    return np.array(out)
 
 
-def _compare(frames):
-    """Rows of one block follow each other by descending doc_id; a guest ends a block and is only the next of the row before."""
+def prefix(s: np.ndarray, least: float, frequent: np.ndarray) -> np.ndarray:
+    """The first signatures, of which two alike sets share one: not frequent ones first, then from the rarest, all by their bits.
+
+    frequent: the known ones in ascending order of bits, and their ranks.
+    """
+    ids, ranks = frequent
+    rank = np.zeros(len(s), np.int64)
+    if len(ids):
+        at = np.minimum(np.searchsorted(ids, s), len(ids) - 1)
+        rank = np.where(ids[at] == s, ranks[at], 0)
+    n = len(s) - math.ceil(least * len(s) - 1e-9) + 1
+    return s[np.lexsort([s, rank])[:n]]
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("set_id", pa.binary()), ("s", pa.binary())])
+_PREFIX = pa.schema([("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_NODES = pa.schema([("set_id", pa.binary()), ("n", pa.int32()), ("part", pa.int32()), *((m, pa.int64()) for m in MAPS)])
+
+
+def _sets(frames):
     sign = Signer()
 
     def rows():
-        last = None
-        for block, guest, doc_id, text in records(frames):
-            text = text or ""
+        for doc_id, th, text in records(frames):
+            s = sign.whole(text)
+            data = s.tobytes()
+            yield doc_id, th, len(s), xxhash.xxh3_128_digest(data), data
+
+    yield from batches(rows(), _SETS, 1024)
+
+
+def _prefixes(least: float, known):
+    def run(frames):
+        frequent = known.value
+
+        def rows():
+            for set_id, data in records(frames):
+                yield set_id, prefix(np.frombuffer(data, np.uint64), least, frequent).view(np.int64)
+
+        yield from batches(rows(), _PREFIX, 1024)
+
+    return run
+
+
+def _nodes(least: float):
+    """Size, partition and bitmap of sets."""
+
+    def run(frames):
+        starts = lengths(least)
+
+        def rows():
+            for set_id, data in records(frames):
+                s = np.frombuffer(data, np.uint64)
+                bits = np.zeros(BITS, bool)
+                bits[(mixed(s) >> np.uint64(55)).astype(np.int64)] = True
+                yield set_id, len(s), int(np.searchsorted(starts, len(s), "right")) - 1, *np.packbits(bits).view(np.int64).tolist()
+
+        yield from batches(rows(), _NODES, 1024)
+
+    return run
+
+
+def _alike(least: float):
+    def run(frames):
+        def rows():
+            for a, b, x, y in records(frames):
+                yield a, b, likeness(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) > 0
+
+        yield from batches(rows(), pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())]))
+
+    return run
+
+
+def near_groups(rows: DataFrame, hold: Scratch, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """doc_id, th, component_id, one row for each (doc_id, th) of rows whose component has a smaller id than its own.
+
+    Linked are fingerprints of a Jaccard likeness of numerator / denominator or more; component_id is the least doc_id
+    reachable. rows: doc_id (not null), th, text. Fingerprints without signatures are linked with nothing.
+    """
+    least = numerator / denominator
+    spark = rows.sparkSession
+    sets = hold(rows.select("doc_id", "th", "text").mapInArrow(_sets, "doc_id long, th long, n int, set_id binary, s binary"))
+    filled = sets.where("n > 0")
+    classes = hold(filled.groupBy("set_id").agg(F.min("doc_id").alias("least")))
+
+    def keys(frequent) -> DataFrame:
+        return filled.select("set_id", "s").mapInArrow(_prefixes(least, spark.sparkContext.broadcast(frequent)), "set_id binary, keys array<long>").select("set_id", F.explode("keys").alias("key"))
+
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    total = filled.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1), F.lit(0))).first()[0]
+    # at most FREQUENT signatures can stand in more than total / FREQUENT prefixes
+    often = keys(none).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(COMMON_FROM, total // FREQUENT)).toArrow()
+    ids, counts = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(ids)
+    shared = hold(keys((ids[order], counts[order])))
+    several = hold(shared.groupBy("key").agg(F.min(F.xxhash64("set_id")).alias("lo"), F.max(F.xxhash64("set_id")).alias("hi")).where("lo != hi").select("key"))
+    met = hold(shared.join(several, "key").distinct())
+    hold.drop(shared, several)
+    ends = met.select("set_id").distinct()
+    own = hold(filled.select("set_id", "s").join(ends.hint("merge"), "set_id").dropDuplicates(["set_id"]))
+    nodes = own.mapInArrow(_nodes(least), "set_id binary, n int, part int, " + ", ".join(f"{m} long" for m in MAPS))
+    # a set stands in its own partition, and as a guest in the one after
+    members = met.join(nodes, "set_id").withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).withColumn("key", F.xxhash64("key", "part")).drop("part")
+
+    def may(x: str, y: str) -> Column:
+        apart = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MAPS), F.lit(0))
+        size = denominator * F.least(f"{x}.n", f"{y}.n") >= numerator * F.greatest(f"{x}.n", f"{y}.n")
+        return size & ((numerator + denominator) * apart <= (denominator - numerator) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left, right = own.select(F.col("set_id").alias("a"), F.col("s").alias("x")), own.select(F.col("set_id").alias("b"), F.col("s").alias("y"))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_alike(least), "a binary, b binary, linked boolean")
+
+    roots = link(bucketed(members, hold), ["n", *MAPS], may, verify, write=hold)
+    labels = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    labels = hold(labels.join(labels.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_id", "component_id"))
+    out = hold(filled.select("doc_id", "th", "set_id").join(labels, "set_id").where("component_id != doc_id").select("doc_id", "th", "component_id").distinct())
+    hold.drop(sets, classes, met, own, labels)
+    return out
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("component_id", pa.int64())])
+_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+_DEALT = "block int, guest boolean, doc_id long, th long, component_id long, data binary"
+
+
+def _packed(frames):
+    """Texts compressed, so that less is shuffled."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in frames:
+        data = pa.array([press.compress(t.encode()) for t in batch.column(5).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], data], names=[*batch.schema.names[:5], "data"])
+
+
+def _compare(frames):
+    """Rows of one block follow each other by descending doc_id, a row's component (without data) before it.
+
+    A guest ends a block and is only the next of the row before.
+    """
+    sign, press = Signer(), zstandard.ZstdDecompressor()
+
+    def rows():
+        last, told = None, None
+        for block, guest, doc_id, th, component, data in records(frames):
+            if data is None:
+                told = doc_id, th, component
+                continue
+            text = press.decompress(data).decode()
             own = sign.of(text)
             if last is not None and last[0] == block:
                 n = len(last[2])
                 edited = last[2][: n - n // 2] + text[: n // 2]
                 other = sign.of(edited)
-                yield last[1], n, hashlib.sha256(edited.encode()).hexdigest(), written(last[3]), written(other), likeness(last[3], other), likeness(last[3], own)
-            last = None if guest else (block, doc_id, text, own)
+                yield last[1], n, hashlib.sha256(edited.encode()).hexdigest(), written(last[3]), written(other), likeness(last[3], other), likeness(last[3], own), last[4]
+            of = told[2] if told and told[:2] == (doc_id, th) else doc_id
+            last = None if guest else (block, doc_id, text, own, of)
 
     yield from batches(rows(), _OUT, 512)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprints(docs: DataFrame, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """A row for each input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id.
 
     The next row is the one with the next smaller doc_id, after the last the first; rows of equal doc_id follow each
-    other by their text's hash, and null ids come last. A lone row is its own next. Null text counts as empty. Extra
-    columns are ignored; an empty table gives no rows.
+    other by their text's hash, and null ids come last. A lone row is its own next. Null text counts as empty; very
+    long texts are taken whole. Extra columns are ignored; an empty table gives no rows. component_id: the least doc_id
+    of all rows that links of near_groups reach, null where none has an id.
 
-    Blocks of ids are cut at quantiles, and the first row of each block also visits the block before as a guest, so
-    that one shuffle brings all neighbours together.
+    Blocks of ids (and of the hashes of one id's texts, where it has many rows) are cut at quantiles, and the first
+    row of each block also visits the block before as a guest, so that one shuffle brings all neighbours together.
+    Rows that repeat both id and text share a block.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 4 * parts
-    cuts = sorted({int(x) for x in rows.select(F.col("doc_id")).agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 10000).alias("q")).first().q or []})
-    block = _steps(cuts)
-    first = rows.select("doc_id", F.xxhash64("text").alias("th"), block.alias("block")).groupBy("block").agg(F.max(F.struct("doc_id", "th")).alias("x")).orderBy(F.desc("block")).collect()  # a row a block
+    blocks = 16 * parts
+    cuts = sorted(int(x) for x in rows.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 10000).alias("q")).first().q or [])
+    block = _block(cuts)
+    first = rows.select("doc_id", "th", block.alias("block")).groupBy("block").agg(F.max(F.struct("doc_id", "th")).alias("x")).orderBy(F.desc("block")).collect()  # a row a block
     if not first:
-        return rows.select("doc_id").limit(0).mapInArrow(_compare, _DDL)
+        return docs.sparkSession.createDataFrame([], _DDL)
     present = [r.block for r in first]
     visits = [(r.x.doc_id, r.x.th, present[k - 1]) for k, r in enumerate(first)]  # the first block's head visits the last
-    spark = docs.sparkSession
-    heads = F.broadcast(spark.createDataFrame(visits, "doc_id long, th long, at int"))
-    keyed = rows.withColumn("th", F.xxhash64("text"))
-    stay = keyed.select(block.alias("block"), F.lit(False).alias("guest"), "doc_id", "th", "text")
-    guest = keyed.join(heads, ["doc_id", "th"]).select(F.col("at").alias("block"), F.lit(True).alias("guest"), "doc_id", "th", "text").dropDuplicates(["block"])
-    dealt = stay.unionByName(guest).repartition(parts, "block").sortWithinPartitions("block", "guest", F.desc("doc_id"), F.desc("th"))
-    out = dealt.select("block", "guest", "doc_id", "text").mapInArrow(_compare, _DDL)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
-
-
-def _steps(cuts: list[int]):
-    """The number of cuts below doc_id, by a balanced tree of comparisons."""
+    hold = Scratch()
+    real = rows.withColumn("doc_id", F.when(F.col("doc_id") == -(2**63), NO_ID).otherwise(F.col("doc_id")))
+    groups = near_groups(real, hold, numerator, denominator)
+    groups = groups.withColumn("doc_id", F.when(F.col("doc_id") == NO_ID, -(2**63)).otherwise(F.col("doc_id")))
+    heads = F.broadcast(docs.sparkSession.createDataFrame(visits, "doc_id long, th long, at int"))
+    none = F.lit(None).cast("long").alias("component_id")
+    stay = rows.select(block.alias("block"), F.lit(False).alias("guest"), "doc_id", "th", none, "text")
+    guest = rows.join(heads, ["doc_id", "th"]).select(F.col("at").alias("block"), F.lit(True).alias("guest"), "doc_id", "th", none, "text").dropDuplicates(["block"])
+    told = groups.select(block.alias("block"), F.lit(False).alias("guest"), "doc_id", "th", "component_id", F.lit(None).cast("binary").alias("data"))
+    dealt = stay.unionByName(guest).mapInArrow(_packed, _DEALT).unionByName(told)
+    dealt = dealt.repartition(parts, "block").sortWithinPartitions("block", "guest", F.desc("doc_id"), F.desc("th"), F.col("component_id").isNull())
+    out = dealt.mapInArrow(_compare, _DDL)
+    id_ = lambda c: F.when((F.col(c) != -(2**63)) & (F.col(c) != NO_ID), F.col(c)).alias(c)
+    return out.select(id_("doc_id"), *_OUT.names[1:-1], id_("component_id"))
+
+
+def _block(cuts: list[int]) -> Column:
+    """A number that grows with doc_id, then th: of the different cuts below doc_id, then, for an id that several cuts name, of its share of hashes."""
+    own = sorted(set(cuts))
+    times = [cuts.count(c) for c in own]
+    width = max(times, default=1) + 1
 
     def tree(lo: int, hi: int):
         if lo == hi:
-            return F.lit(lo)
+            base = F.lit(lo * width)
+            if lo < len(own) and times[lo] > 1:
+                share = F.floor((F.col("th").cast("double") / 2.0**64 + 0.5) * times[lo]).cast("int")
+                return F.when(F.col("doc_id") == own[lo], base + 1 + F.least(share, F.lit(times[lo] - 1))).otherwise(base)
+            return base
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        return F.when(F.col("doc_id") > own[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(cuts))
+    return tree(0, len(own))
