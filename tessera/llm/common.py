@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 NO_ID = 9223372036854775807
 
 

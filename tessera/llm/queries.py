@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .class_lm import class_scores
 from .common import table
@@ -15,11 +14,15 @@ from .quality import classify
 from .secrets import find_secrets
 from .spotsigs import fingerprints
 from .substring import remove_repeats
-from .url_filter import host_and_path, judge
+from .url_filter import judge
 
-# Rules of the URL filter, as verdict, host and path, and words of hosts that are listed as bad.
+# Rules of the URL filter, as verdict, host and path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-BAD_HOST = "spam|pills|casino|malware|phish|warez"
+# The query's blocklist of hosts, as names of sites under each of the example domains, and of sections, as host and path.
+BAD_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BAD_DOMAINS = ("example.com", "example.net", "example.org")
+BAD_SECTIONS = (("example.org", "/fr/9"), ("example.net", "/es/1"), ("tionsh.example.com", "/fr/"))
+URL_LIST = [*((f"{s}.{d}", "") for s in BAD_SITES for d in BAD_DOMAINS), *BAD_SECTIONS]
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +52,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    bad = pages.select(host_and_path(F.col("url"))[0].alias("host")).where(F.col("host").rlike(BAD_HOST)).distinct()
-    return judge(pages, URL_RULES, bad)
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, spark.createDataFrame(URL_LIST, "host string, path string"))
 
 
 def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +104,11 @@ with u as (select page_id, case when instr(url, '://') > 0 then substr(url, inst
 h as (select page_id, {_LOW.format("regexp_extract(r, '^([^/?#]*)', 1)")} as host, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') as path from u),
 rules(v, rh, rp) as (values {", ".join(str(r) for r in URL_RULES)}),
 f as (select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(v, length(rh || rp)) as v from h, rules
-  where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
-select h.page_id, h.host, h.path, f.rule, coalesce(f.v, case when regexp_matches(h.host, '{BAD_HOST}') then 'block' else 'allow' end) as verdict
-from h left join f on f.page_id = h.page_id""",
+  where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id),
+listed(lh, lp) as (values {", ".join(str(x) for x in URL_LIST)}),
+b as (select distinct page_id from h, listed where (host = lh or ends_with(host, '.' || lh)) and starts_with(path, lp))
+select h.page_id, h.host, h.path, f.rule, coalesce(f.v, case when b.page_id is not null then 'block' else 'allow' end) as verdict
+from h left join f on f.page_id = h.page_id left join b on b.page_id = h.page_id""",
     "op9_substring_dedup": f"""
 with d as (select doc_id, {_words("coalesce(text, '')", _BLANK)} as w from documents),
 p as (select doc_id, k, md5(array_to_string(w[k:k + 34], ' ')) as v from (select doc_id, w, unnest(range(1, len(w) - 33)) as k from d where len(w) >= 35)),

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, grams, mixed, records, slices
+from .common import CACHE_WORDS, NO_ID, Scratch, WordHashes, ascii_lower, batches, grams, mixed, records, slices
 from .linking import bucketed, link
 
 CHAIN = 3
@@ -48,8 +48,9 @@ class Marked(WordHashes):
         self.marks = {w.encode(): 1 for w in COMMON} | {w.encode(): 3 for w in ANCHORS}
 
     def __missing__(self, word: bytes) -> int:
-        h = super().__missing__(word) & ~3 | self.marks.get(word, 0)
-        self[word] = h
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word) & ~3 | self.marks.get(word, 0)
         return h
 
 

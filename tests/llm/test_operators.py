@@ -276,7 +276,7 @@ def test_cascade(spark):
         cascade = url_filter.build(spark.createDataFrame([(k,) for k in keys], "key string"), listed)
         assert cascade.holds(url_filter.hashed(keys)).tolist() == [k in set(listed) for k in keys]
     pages = spark.createDataFrame([(1, "http://A.com/en/1?q"), (2, None), (3, "x"), (4, "ftp://b.a.com"), (5, "http://xa.com/en/")], "page_id long, url string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, [("block", "a.com", "/en/")], spark.createDataFrame([("b.a.com",)], "host string")).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, [("block", "a.com", "/en/")], spark.createDataFrame([("b.a.com", None)], "host string, path string")).collect()}
     assert got == {1: ("a.com", "/en/1", "a.com/en/", "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("b.a.com", "", None, "block"), 5: ("xa.com", "/en/", None, "allow")}
 
 
