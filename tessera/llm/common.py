@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NO_ID = 9223372036854775807
 
 
@@ -81,7 +81,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, th and text: rows that agree in doc_id and th (the text's hash) are copies of one row and get equal results."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """The stems as names that no column of df has."""
+    held = {c.lower() for c in df.columns}
+    end = next(e for e in ("_" * k for k in range(1, 10**6)) if not any((s + e).lower() in held for s in stems))
+    return [s + end for s in stems]
 
 
 def same(a, b):

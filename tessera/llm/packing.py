@@ -30,7 +30,7 @@ from .common import batches, materialize
 #: Sizes of the linear program, and shares of a sequence above which a piece is long; the plan of the fewest sequences is taken.
 GROUPS, LONG = 40, (0.5, 0.4, 0.3, 0.2)
 #: Chunks whose tokens a worker keeps, and as many again of the generation before.
-CACHE = 600_000
+CACHE = 400_000
 #: Bytes of text that are encoded together.
 PORTION = 8 << 20
 

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, same
+from .common import keyed, same, unused
 
 SCOPE = 200
 MASK = "[SECRET]"
@@ -89,8 +89,8 @@ def _joined(only_base: bool) -> Column:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, th: a row for each input row.
 
-    Null or empty text has no spans. Repeated rows get equal results, extra columns are ignored; an empty table gives
-    no rows.
+    Null or empty text has no spans; very long texts are scanned whole. Spans that begin at one place come in the order
+    of kinds. Repeated rows get equal results, extra columns are ignored; an empty table gives no rows.
     """
     counts = [F.count(F.when(F.col("kind") == i, True)).alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.base]
     own = spans(docs).groupBy("doc_id", "th").agg(*counts, _joined(True).alias("base_spans"), _joined(False).alias("spans"))
@@ -101,13 +101,17 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every reported span of text replaced by MASK, overlapping ones by one; all columns stay."""
+    """docs with every reported span of text replaced by MASK, overlapping ones by one; all columns stay.
+
+    Rows and nulls stay as they are where nothing is found; repeated rows are masked alike.
+    """
     before = Window.partitionBy("doc_id", "th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     own = spans(docs).withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
     # pieces of text that stay lie between the end of all spans so far and the next start
-    own = own.groupBy(F.col("doc_id").alias("tessera_id"), F.col("th").alias("tessera_th")).agg(F.array_sort(F.collect_list(F.when(F.col("from") <= F.col("start"), F.struct("start", "from")))).alias("tessera_cuts"), F.max("end").alias("tessera_end"))
+    id_, th, cuts, end = unused(docs, "masked_id", "masked_th", "masked_cuts", "masked_end")
+    own = own.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.array_sort(F.collect_list(F.when(F.col("from") <= F.col("start"), F.struct("start", "from")))).alias(cuts), F.max("end").alias(end))
     text = F.col("text")
-    pieces = F.transform("tessera_cuts", lambda c: F.substring(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")))
-    left = F.concat(F.array_join(pieces, MASK), F.lit(MASK), F.expr("substring(text, cast(tessera_end as int) + 1)"))
-    match = same(F.col("doc_id").cast("long"), F.col("tessera_id")) & (F.xxhash64(F.col("text")) == F.col("tessera_th"))
-    return docs.join(own, match, "left").withColumn("text", F.when(F.col("tessera_cuts").isNotNull(), left).otherwise(text)).select(*docs.columns)
+    pieces = F.transform(cuts, lambda c: F.substring(text, (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")))
+    left = F.concat(F.array_join(pieces, MASK), F.lit(MASK), F.substring(text, F.col(end).cast("int") + 1, F.length(text)))
+    match = same(F.col("doc_id").cast("long"), F.col(id_)) & (F.xxhash64(F.col("text").cast("string")) == F.col(th))
+    return docs.join(own, match, "left").withColumn("text", F.when(F.col(cuts).isNotNull(), left).otherwise(text)).select(*docs.columns)

@@ -228,7 +228,9 @@ def near_groups(rows: DataFrame, hold: Scratch, numerator: int = 80, denominator
     met = hold(shared.join(several, "key").distinct())
     hold.drop(shared, several)
     ends = met.select("set_id").distinct()
-    own = hold(filled.select("set_id", "s").join(ends.hint("merge"), "set_id").dropDuplicates(["set_id"]))
+    # one row of each set, found by its id too, so that a large group of equal sets is not gathered
+    first = classes.join(ends, "set_id").select("set_id", F.col("least").alias("doc_id"))
+    own = hold(filled.select("set_id", "doc_id", "s").join(first.hint("merge"), ["set_id", "doc_id"]).select("set_id", "s").dropDuplicates(["set_id"]))
     nodes = own.mapInArrow(_nodes(least), "set_id binary, n int, part int, " + ", ".join(f"{m} long" for m in MAPS))
     # a set stands in its own partition, and as a guest in the one after
     members = met.join(nodes, "set_id").withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).withColumn("key", F.xxhash64("key", "part")).drop("part")
