@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions over the text's words, made from families of licences, their versions and the ways
-licences are mentioned. A rule runs only where its keyword occurs. A detection inside another one of higher priority,
+Rules are regular expressions over the text's words: over a hundred written by hand, and those of families of licences,
+their versions and the ways licences are mentioned, made by a rule. A rule runs only where its keyword occurs. A detection inside another one of higher priority,
 or of equal priority and longer, is suppressed; of equal spans the earlier rule stays.
 """
 
@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,18 +60,128 @@ FAMILIES = (
     ("cc-by-nc-sa", "cc by", "creative commons attribution non ?commercial share ?alike(?: licen[sc]e)?", "cc by nc sa", "1 2 2.5 3 4"),
     ("cc-by-nc-nd", "cc by", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: licen[sc]e)?", "cc by nc nd", "1 2 2.5 3 4"),
 )
-# Single rules as label, keyword, pattern, confidence.
+# Rules written by hand, from notices, headers and addresses, as label, keyword, pattern, confidence.
 SINGLE = (
     ("public-domain", "public domain", "(?:released|placed|dedicated|is)(?: in| into| to)? the public domain", 0.9),
     ("public-domain", "public domain", "public domain", 0.5),
+    ("public-domain", "publicdomain mark", "creativecommons org publicdomain mark 1 0", 0.9),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", 0.9),
+    ("cc0-1", "publicdomain zero", "creativecommons org publicdomain zero 1 0", 1.0),
+    ("cc0", "waived all copyright", "waived all copyright and related or neighbou?ring rights", 0.9),
     ("reserved", "rights reserved", "copyright (?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){0,6}?all rights reserved", 0.9),
     ("reserved", "rights reserved", "(?:all|some|no) rights reserved", 0.6),
+    ("copyright", "copyright", "copyright (?:c )?[0-9]{4}", 0.3),
     ("proprietary", "proprietary", "proprietary (?:and confidential|licen[sc]e|software)", 0.7),
+    ("proprietary", "confidential", "confidential and proprietary(?: information)?", 0.7),
+    ("proprietary", "unauthori", "unauthori[sz]ed copying of this file via any medium is strictly prohibited", 0.9),
+    ("proprietary", "be reproduced", "no part of this [a-z]+ may be reproduced(?: or transmitted)? in any form", 0.8),
+    ("proprietary", "written permission", "without the (?:prior )?(?:express )?written permission of", 0.5),
+    ("proprietary", "trade secret", "(?:contains|is a) (?:the )?trade secrets?(?: of)?", 0.6),
+    ("proprietary", "internal use only", "for internal use only", 0.6),
     ("eula", "licen", "end user licen[sc]e agreement", 0.7),
+    ("noncommercial", "commercial use only", "non ?commercial use only", 0.7),
+    ("noncommercial", "personal use only", "for personal use only", 0.6),
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", 0.9),
+    ("mit", "mit style", "mit style licen[sc]e", 0.7),
+    ("mit", "opensource org", "opensource org licen[sc]es? mit(?: license php)?", 0.95),
+    ("mit", "mit x11", "mit x11(?: licen[sc]e)?", 0.8),
+    ("x11", "x11 licen", "x11 licen[sc]e", 0.7),
+    ("json", "used for good not evil", "the software shall be used for good not evil", 1.0),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification", 0.9),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice", 0.8),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice", 0.8),
+    ("bsd-3", "neither the name of", "neither the name of (?:[^ ]+ ){1,12}?nor the names of (?:its|any) contributors may be used to endorse", 0.95),
+    ("bsd-4", "all advertising materials", "all advertising materials mentioning features or use of this software must display", 0.95),
+    ("bsd-2", "bsd 2 clause", "bsd 2 clause(?: licen[sc]e)?", 0.9),
+    ("bsd-3", "bsd 3 clause", "bsd 3 clause(?: licen[sc]e)?", 0.9),
+    ("bsd-2", "clause bsd", "(?:2|two) clause bsd(?: licen[sc]e)?", 0.9),
+    ("bsd-3", "clause bsd", "(?:3|three) clause bsd(?: licen[sc]e)?", 0.9),
+    ("0bsd", "0bsd", "0bsd", 0.9),
+    ("0bsd", "zero clause bsd", "zero clause bsd(?: licen[sc]e)?", 0.95),
+    ("bsd", "bsd style", "bsd style licen[sc]e", 0.7),
+    ("apache-2", "compliance with the licen", "licen[sc]ed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance with the licen[sc]e", 1.0),
+    ("apache-2", "apache org", "apache org licenses license 2 0(?: txt| html)?", 0.95),
+    ("apache-2", "asl 2", "asl 2 0", 0.6),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation", 0.8),
+    ("gpl", "you can redistribute it", "free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", 0.95),
+    ("gpl-2", "either version 2", "gnu general public licen[sc]e as published by the free software foundation either version 2", 1.0),
+    ("gpl-3", "either version 3", "gnu general public licen[sc]e as published by the free software foundation either version 3", 1.0),
+    ("lgpl-2.1", "either version 2 1", "gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1", 1.0),
+    ("lgpl-3", "either version 3", "gnu lesser general public licen[sc]e as published by the free software foundation either version 3", 1.0),
+    ("agpl-3", "either version 3", "gnu affero general public licen[sc]e as published by the free software foundation either version 3", 1.0),
+    ("gpl", "gnu org", "gnu org (?:licenses|copyleft) gpl(?: html| txt)?", 0.8),
+    ("lgpl", "gnu org", "gnu org (?:licenses|copyleft) lgpl(?: html| txt)?", 0.8),
+    ("agpl", "gnu org", "gnu org (?:licenses|copyleft) agpl(?: html| txt)?", 0.8),
+    ("gfdl", "gnu org", "gnu org (?:licenses|copyleft) fdl(?: html| txt)?", 0.8),
+    ("gpl", "gnu gpl", "gnu gpl", 0.7),
+    ("lgpl", "gnu lgpl", "gnu lgpl", 0.7),
+    ("agpl", "gnu agpl", "gnu agpl", 0.7),
+    ("gpl-classpath", "classpath exception", "classpath exception", 0.9),
+    ("gfdl", "modify this document under", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 1.0),
+    ("mpl-2", "source code form", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 1.0),
+    ("mpl-2", "mozilla org mpl", "mozilla org mpl 2 0", 0.95),
+    ("mpl-1.1", "contents of this file", "contents of this file are subject to the mozilla public licen[sc]e version 1 1", 1.0),
+    ("epl-1", "eclipse org legal", "eclipse org legal epl v10(?: html)?", 0.95),
+    ("epl-2", "eclipse org legal", "eclipse org legal epl (?:v20|2 0)(?: html)?", 0.95),
+    ("cddl", "contents of this file", "contents of this file are subject to the terms of the common development and distribution licen[sc]e", 0.95),
     ("isc", "permission to use copy", "permission to use copy modify and or distribute this software for any purpose", 0.9),
+    ("isc", "the author disclaims", "the software is provided as is and the author disclaims all warranties with regard to this software", 0.8),
+    ("zlib", "express or implied warranty", "provided as is without any express or implied warranty in no event will the authors be held liable", 0.9),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 0.95),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such", 0.9),
+    ("libpng", "libpng licen", "libpng licen[sc]e", 0.8),
+    ("bsl-1", "boost org", "boost org license 1 0 txt", 0.95),
+    ("unlicense", "unencumbered software", "free and unencumbered software released into the public domain", 1.0),
+    ("unlicense", "unlicense org", "unlicense org", 0.9),
+    ("wtfpl", "you just do what", "you just do what the fuck you want to", 0.95),
+    ("beerware", "beer", "beer ?ware(?: licen[sc]e)?", 0.9),
+    ("cc-by-4", "creativecommons org", "creativecommons org licenses by 4 0", 1.0),
+    ("cc-by-3", "creativecommons org", "creativecommons org licenses by 3 0", 1.0),
+    ("cc-by-sa-4", "creativecommons org", "creativecommons org licenses by sa 4 0", 1.0),
+    ("cc-by-sa-3", "creativecommons org", "creativecommons org licenses by sa 3 0", 1.0),
+    ("cc-by-nc-4", "creativecommons org", "creativecommons org licenses by nc 4 0", 1.0),
+    ("cc-by-nd-4", "creativecommons org", "creativecommons org licenses by nd 4 0", 1.0),
+    ("cc-by-nc-sa-4", "creativecommons org", "creativecommons org licenses by nc sa 4 0", 1.0),
+    ("cc-by-nc-nd-4", "creativecommons org", "creativecommons org licenses by nc nd 4 0", 1.0),
+    ("cc-by-sa", "text is available under", "text is available under the creative commons attribution share ?alike licen[sc]e", 0.95),
+    ("ofl-1.1", "sil org", "sil org ofl", 0.9),
+    ("ofl", "reserved font name", "with reserved font names?", 0.8),
+    ("python-2", "psf licen", "psf licen[sc]e agreement(?: for python)?", 0.9),
+    ("php-3.01", "php net", "php net licen[sc]e 3 01 txt", 0.95),
+    ("openssl", "openssl project", "software developed by the openssl project", 0.9),
+    ("openssl", "eric young", "cryptographic software written by eric young", 0.9),
+    ("artistic", "as perl itself", "under the same terms as perl itself", 0.8),
+    ("ruby", "ruby s licen", "ruby s licen[sc]e", 0.8),
+    ("ms-pl", "opensource org", "opensource org licen[sc]es? ms pl", 0.95),
+    ("odbl-1", "opendatacommons org", "opendatacommons org licenses odbl(?: 1 0)?", 0.95),
+    ("odc-by-1", "opendatacommons org", "opendatacommons org licenses by(?: 1 0)?", 0.95),
+    ("pddl-1", "opendatacommons org", "opendatacommons org licenses pddl(?: 1 0)?", 0.95),
+    ("ogl-3", "nationalarchives gov uk", "nationalarchives gov uk doc open government licence version 3", 0.95),
+    ("ncsa", "university of illinois", "university of illinois ncsa open source licen[sc]e", 0.95),
+    ("postgresql", "postgresql licen", "postgresql licen[sc]e", 0.9),
+    ("hpnd", "historical permission notice", "historical permission notice and disclaimer", 0.9),
+    ("afl-3", "academic free licen", "academic free licen[sc]e(?: v(?:ersion)? ?3(?: 0)?)?", 0.9),
+    ("osl-3", "open software licen", "open software licen[sc]e(?: v(?:ersion)? ?3(?: 0)?)?", 0.9),
+    ("qpl", "q public licen", "q public licen[sc]e", 0.9),
+    ("ipl-1", "ibm public licen", "ibm public licen[sc]e(?: version 1(?: 0)?)?", 0.9),
+    ("lppl", "latex project public licen", "latex project public licen[sc]e", 0.95),
+    ("sspl-1", "server side public licen", "server side public licen[sc]e", 0.95),
+    ("busl-1.1", "business source licen", "business source licen[sc]e(?: 1 1)?", 0.95),
+    ("elastic-2", "elastic licen", "elastic licen[sc]e(?: 2(?: 0)?)?", 0.9),
+    ("commons-clause", "commons clause", "commons clause", 0.9),
+    ("vim", "vim licen", "vim licen[sc]e", 0.9),
+    ("ftl", "freetype project licen", "freetype project licen[sc]e", 0.9),
+    ("ijg", "independent jpeg group", "work of the independent jpeg group", 0.8),
+    ("unicode", "unicode", "unicode(?: inc)? licen[sc]e agreement", 0.9),
+    ("w3c", "w3c software", "w3c software (?:and document )?notice and licen[sc]e", 0.95),
+    ("sleepycat", "sleepycat licen", "sleepycat licen[sc]e", 0.9),
+    ("upl-1", "universal permissive licen", "universal permissive licen[sc]e(?: v(?:ersion)? ?1(?: 0)?)?", 0.95),
+    ("mulan-2", "mulan permissive", "mulan permissive software licen[sc]e(?: v(?:ersion)? ?2)?", 0.95),
+    ("cecill", "cecill", "cecill(?: [bc])?(?: licen[sc]e)?", 0.8),
+    ("erlang", "erlang public licen", "erlang public licen[sc]e", 0.9),
+    ("nasa-1.3", "nasa open source", "nasa open source agreement(?: version 1 3)?", 0.9),
+    ("openrail", "rail m", "open ?rail m(?: licen[sc]e)?", 0.9),
+    ("llama", "community licen", "llama (?:[0-9] )*community licen[sc]e", 0.9),
 )
 
 
@@ -105,7 +219,7 @@ def rules() -> tuple[Rule, ...]:
         add(label, gate, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:{names})", 50, 0.8)
         add(label, gate, names, 40, 0.7)
         add(label, "spdx", f"spdx licen[sc]e identifier (?:{ids})", 85, 0.95)
-        add(label, keyword, f"(?:licen[sc]ed?|released) under (?:a |an |the )?(?:{short})", 45, 0.7)
+        add(label, short, f"(?:licen[sc]ed?|released) under (?:a |an |the )?(?:{short})", 45, 0.7)
         if keyword == "cc by":
             add(label, keyword, short, 20, 0.6)
     for label, keyword, pattern, confidence in SINGLE:
@@ -115,19 +229,23 @@ def rules() -> tuple[Rule, ...]:
 
 def detect(text: bytes) -> list[tuple[int, int, Rule]]:
     """Spans, in bytes of the words joined by single blanks, that survive suppression, by start."""
-    found, there = [], {}
+    found, there = defaultdict(list), {}
     for rule in rules():
         if rule.keyword not in there:
             there[rule.keyword] = rule.keyword in text
         if there[rule.keyword]:
-            found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
+            found[rule.priority] += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
     kept: list[tuple[int, int, Rule]] = []
-    inside: list[tuple[int, int]] = []
-    found.sort(key=lambda x: (-x[2].priority, x[0] - x[1]))
-    for s, e, rule in found:
-        if not any(a <= s and e <= b for a, b in inside):
-            kept.append((s, e, rule))
-            inside.append((s, e))
+    starts, ends = [], []  # of all spans of higher priority, by start, and the greatest end so far
+    for priority in sorted(found, reverse=True):
+        top, own = -1, sorted(found[priority], key=lambda x: (x[0], -x[1]))
+        for s, e, rule in own:
+            k = bisect_right(starts, s)
+            if max(top, ends[k - 1] if k else -1) < e:
+                kept.append((s, e, rule))
+            top = max(top, e)
+        spans = sorted([*zip(starts, ends), *((s, e) for s, e, _ in own)])
+        starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
     return sorted(kept, key=lambda x: x[:2])
 
 
@@ -146,19 +264,22 @@ def scan(text: str | None) -> tuple:
             starts.append(at)
             labels.add(label)
             at = joined.find(phrase, at + 1)
-    places = [joined.count(b" ", 0, at) for at in ((min(starts), max(starts)) if starts else ())]
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+    before = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  blanks left of a place
+    places = [before(at) for at in ((min(starts), max(starts)) if starts else ())]
     found = detect(joined)
     miss = 1.0 if not starts else 0.5
     for _, _, rule in found:
         miss *= 1 - rule.confidence
-    told = [f"{joined.count(b' ', 0, s) - 1}:{joined.count(b' ', 0, e)}:{r.label}" for s, e, r in found]
+    told = [f"{before(s) - 1}:{before(e)}:{r.label}" for s, e, r in found]
     return len(words), len(starts), *(places or (None, None)), ",".join(sorted(labels)), ",".join(sorted(labels | {r.label for _, _, r in found})), 1 - miss, told
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """A row for each input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    detections: start:end:label, in words, the end exclusive. Null or empty text has no words, labels or score.
+    detections: start:end:label, in words, the end exclusive; of equal spans of equal priority the earlier rule stays.
+    Null or empty text has no words, labels or score. Very long texts are scanned whole, in time linear in their matches.
     Repeated rows are scanned each, extra columns ignored; an empty table gives no rows.
     """
 
