@@ -11,7 +11,7 @@ from .licenses import license_scan
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import classify
-from .secrets import find_secrets
+from .secrets import KINDS, SCOPE, find_secrets
 from .spotsigs import fingerprints
 from .substring import remove_repeats
 from .url_filter import judge
@@ -78,7 +78,40 @@ def _words(text: str, between: str) -> str:
     return f"list_filter(string_split_regex({text}, '{between}'), lambda x: x <> '')"
 
 
+def _secret_kinds() -> str:
+    """Rows doc_id, kind, i, gap, len, ok of every match; a leftmost run of its characters never begins inside a longer one, so blob needs no look-behind."""
+    out = []
+    for i, k in enumerate(KINDS):
+        p = k.pattern.removeprefix("(?<![A-Za-z0-9+/])").replace("'", "''")
+        value = f"length(regexp_extract_all(t, '{p}', 1)[i]) >= 6" if k.name == "assign" else "true"
+        out.append(f"select doc_id, {i} as kind, i, length(string_split_regex(t, '{p}')[i]) as gap, length(regexp_extract_all(t, '{p}')[i]) as len, {value} as ok from (select doc_id, t, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) as i from d)")
+    return " union all ".join(out)
+
+
+def _close(role: str) -> str:
+    kinds = ", ".join(str(i) for i, k in enumerate(KINDS) if k.role == role)
+    return f"coalesce(s - max(case when kind in ({kinds}) then e end) over before <= {SCOPE}, false) or coalesce(min(case when kind in ({kinds}) then s end) over after - e <= {SCOPE}, false)"
+
+
+_NAMES = "[" + ", ".join(f"'{k.name}'" for k in KINDS) + "]"
+_N_BASE = sum(k.base for k in KINDS)
+_ROLE = "[" + ", ".join(f"'{k.role}'" for k in KINDS) + "]"
+
 ORACLES = {
+    "op6_secret_scan": f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({_secret_kinds()}),
+p as (select * from (select doc_id, kind, ok, len, cast(sum(gap + len) over (partition by doc_id, kind order by i) as bigint) as e from m) where ok),
+q as (select doc_id, kind, e - len as s, e from p),
+j as (select doc_id, kind, s, e, {_close("secret")} as near_secret, {_close("identifier")} as near_identifier,
+  coalesce(max(case when kind < {_N_BASE} then e end) over before > s, false) or coalesce(min(case when kind < {_N_BASE} then s end) over after < e, false) as overlap
+  from q window before as (partition by doc_id order by s, kind rows between unbounded preceding and 1 preceding), after as (partition by doc_id order by s, kind rows between 1 following and unbounded following)),
+r as (select doc_id, kind, s, {_NAMES}[kind + 1] || ':' || s || ':' || e as x from j where kind < {_N_BASE} or not overlap
+  and case {_ROLE}[kind + 1] when 'secret' then near_identifier when 'identifier' then near_secret else near_secret and near_identifier end),
+g as (select doc_id, count(*) filter (where kind = 0) as a, count(*) filter (where kind = 1) as b, count(*) filter (where kind = 2) as c,
+  string_agg(x, ',' order by s, kind) filter (where kind < {_N_BASE}) as base, string_agg(x, ',' order by s, kind) as every from r group by doc_id)
+select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(every, '') as spans
+from d left join g on g.doc_id = d.doc_id""",
     "op1_minhash_dedup": f"""
 with recursive d as (select doc_id, {_words(_LOW.format("text"), _BLANK)} as w from documents),
 s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from d),
