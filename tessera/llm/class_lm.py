@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, batches, materialize, records
+from .common import Scratch, ascii_lower, batches, lean, materialize, records
 
 #: Words exchanged on the driver for a vocabulary of VOCABULARY words (more with its fourth root, so that their matrix
 #: grows with its square root), ending units and classes.
@@ -344,7 +344,7 @@ def class_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != remainder, F.lit(True))).select("text")
     hold = Scratch()
-    counts = hold(train.mapInArrow(_count, "word binary, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")))
+    counts = hold(train.mapInArrow(lean(_count), "word binary, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")))
     level = F.floor(F.log2("n") * 16).cast("int")
     by_level = counts.where(F.octet_length("word") <= LONGEST).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("level")).collect()  # 64 * 16 rows at most
     least, room = None, LOOKUP
@@ -365,7 +365,7 @@ def class_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataF
     rest = np.array([units + ending(w) for w in words[units:]], np.int64)
     unit = np.concatenate([np.arange(units), rest, units + np.arange(ENDINGS)])
     sent = spark.sparkContext.broadcast((words, unit))
-    bigrams = train.mapInArrow(_pairs(sent, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    bigrams = train.mapInArrow(lean(_pairs(sent, size)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(size * size, np.int64)
     n[bigrams.column("pair").to_numpy()] = bigrams.column("n").to_numpy()
     n = n.reshape(size, size)
@@ -375,9 +375,9 @@ def class_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataF
     m, of_ending = one.T @ n @ one, cls[units:]
 
     sent = spark.sparkContext.broadcast((words, unit, cls))
-    around = train.mapInArrow(_neighbours(sent, units, k), "word binary, code long, side array<int>, times array<long>")
+    around = train.mapInArrow(lean(_neighbours(sent, units, k)), "word binary, code long, side array<int>, times array<long>")
     sent = spark.sparkContext.broadcast((m, of_ending))
-    others = hold(around.repartition("word").sortWithinPartitions("word").mapInArrow(_classes(sent), "word binary, code long, n long, class int"))
+    others = hold(around.repartition("word").sortWithinPartitions("word").mapInArrow(lean(_classes(sent)), "word binary, code long, n long, class int"))
     looked_up = others.where("code >= 0").select("code", "class").toArrow()  # LOOKUP rows at most
     of_word = cls[unit].astype(np.uint8)
     of_word[looked_up.column("code").to_numpy()] = looked_up.column("class").to_numpy()
@@ -387,21 +387,21 @@ def class_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataF
 
     log_count = np.concatenate([np.log10(n_known + 1.0), np.zeros(ENDINGS)])
     sent = spark.sparkContext.broadcast((words, log_count, of_word))
-    texts = hold(docs.mapInArrow(_texts(sent, is_held_out(modulus, remainder)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, classes binary, places binary, words array<binary>, times array<int>"))
+    texts = hold(docs.mapInArrow(lean(_texts(sent, is_held_out(modulus, remainder))), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, classes binary, places binary, words array<binary>, times array<int>"))
     rare = texts.select("row", F.posexplode(F.arrays_zip("words", "times"))).select("row", "pos", "col.words", "col.times").toDF("row", "place", "word", "t")
     found = (F.col("place").cast("long") * 256 + F.col("class")).alias("found")
     met = rare.join(others.where("code < 0"), "word").select("row", "t", "n", found).groupBy("row").agg(F.sum(F.col("t") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("t").cast("long").alias("met"), F.collect_list("found").alias("found"))
     whole = texts.drop("words", "times").join(met, "row", "left").na.fill({"more": 0.0, "met": 0})
     whole = whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("met")).alias("n_known"), (F.col("base") + F.col("more")).alias("base"), "classes", "places", "found")
-    whole = materialize(whole.mapInArrow(_joined, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, classes binary"))
+    whole = materialize(whole.mapInArrow(lean(_joined), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, classes binary"))
     hold.drop(counts, others, texts)
 
-    bigrams = whole.where("not held_out").select("classes").mapInArrow(_class_pairs(k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    bigrams = whole.where("not held_out").select("classes").mapInArrow(lean(_class_pairs(k)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     m = np.zeros(k * k)
     m[bigrams.column("pair").to_numpy()] = bigrams.column("n").to_numpy()
     m = m.reshape(k, k)
     follow = (m + PRIOR * mass / mass.sum()) / (m.sum(axis=1, keepdims=True) + PRIOR)
     log_step = np.log10(np.maximum(follow, 1e-300)) - np.log10(np.maximum(mass, 1e-300))
-    out = whole.mapInArrow(_score(spark.sparkContext.broadcast(log_step)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
+    out = whole.mapInArrow(lean(_score(spark.sparkContext.broadcast(log_step))), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
     less = F.col("n_tokens") * F.lit(float(np.log10(total[0] + total[1] + 1.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total[0])).cast("long").alias("train_tokens"), (F.col("base") - less).alias("base_score"), F.col("model").alias("score"))

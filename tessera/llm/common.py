@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 NO_ID = 9223372036854775807
 
 
@@ -156,6 +158,22 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(grams(h, min(n, len(h)))) if len(h) else h
 
 
+def lean(run):
+    """run, and after it the worker's memory goes back to the system: workers live on, idle, while other stages need it."""
+
+    def wrapped(frames):
+        try:
+            yield from run(frames)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def batches(rows, schema: pa.Schema, size: int = 4096):
     """Row tuples as record batches of at most size rows."""
     held: list[tuple] = []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, letter_words, records
+from .common import batches, lean, letter_words, records
 
 # Phrases and labels of the base scan.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -286,4 +286,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
     def run(frames):
         yield from batches(((doc_id, *scan(text)) for doc_id, text in records(frames)), _OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), _DDL)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, keyed, materialize, mixed, records, shingle_set
+from .common import NO_ID, Scratch, WordHashes, ascii_lower, batches, keyed, lean, materialize, mixed, records, shingle_set
 from .linking import bucketed, link
 
 #: Slots of the circle; with far longer documents than this the keys select less, but links stay exact.
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
     source = keyed(docs)
     texts = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     with Scratch() as hold:
-        sketches = hold(source.mapInArrow(_sketches(shingle, bands), f"doc_id long, th long, n_shingles long, set_id binary, {' long, '.join(WORDS)} long, keys array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
+        sketches = hold(source.mapInArrow(lean(_sketches(shingle, bands)), f"doc_id long, th long, n_shingles long, set_id binary, {' long, '.join(WORDS)} long, keys array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
         filled = sketches.where("n_shingles > 0")
         classes = hold(filled.groupBy("set_id").agg(F.min("doc_id").alias("least")))
         picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", "n_shingles", *WORDS, "keys").dropDuplicates(["set_id"])
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
             held = hold(texts.join(ends.hint("merge"), "set_id", "left_semi"))
             left, right = held.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), held.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
             both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-            return both.mapInArrow(_compare(shingle, numerator, denominator), f"a binary, b binary, linked boolean, {' long, '.join(MAPS)} long")
+            return both.mapInArrow(lean(_compare(shingle, numerator, denominator)), f"a binary, b binary, linked boolean, {' long, '.join(MAPS)} long")
 
         def refine(rows: DataFrame, hubs: DataFrame, first: DataFrame) -> tuple[DataFrame, Column]:
             # the first step compared most members of a bucket with its hub; the others have no bitmap and pass

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import batches, materialize
+from .common import batches, lean, materialize
 
 #: Sizes of the linear program, and shares of a sequence above which a piece is long; the plan of the fewest sequences is taken.
 GROUPS, LONG = 40, (0.5, 0.4, 0.3, 0.2)
@@ -355,11 +355,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0) ->
     A document is its token ids, then the id `end`; longer than capacity it is cut, shorter never. Null or empty text
     is the end alone. Repeated rows are packed each. Extra columns are ignored; an empty table gives no rows.
     """
-    pieces = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, capacity, end), _PIECES_DDL))
+    pieces = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_pieces(tokenizer, capacity, end)), _PIECES_DDL))
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     at = places(plan(histogram, capacity), capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(starts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(_place(at), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_place(at)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

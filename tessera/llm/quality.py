@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, records, slices
+from .common import Scratch, batches, lean, records, slices
 
 SAMPLE, HIDDEN, EPOCHS, CUT, SEED = 12_000, 24, 250, 0.7, 11
 BINS = 1 << 16
@@ -183,7 +183,7 @@ def histogram(rows: DataFrame, model: Network) -> tuple[np.ndarray, np.ndarray,
     """Rows, least and greatest margin of each of at most BINS bins that have rows, in order."""
     least, most = model.bounds()
     at = F.floor((F.col("margin") - least) / (most - least) * BINS).alias("bin")
-    bins = rows.select("x").mapInArrow(_margins(model), "margin double").groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.min("margin").alias("least"), F.max("margin").alias("most")).orderBy("bin").toArrow()
+    bins = rows.select("x").mapInArrow(lean(_margins(model)), "margin double").groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.min("margin").alias("least"), F.max("margin").alias("most")).orderBy("bin").toArrow()
     return tuple(bins.column(c).to_numpy() for c in ("n", "least", "most"))
 
 
@@ -221,7 +221,7 @@ def summary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not len(centres):
         return centres, np.empty(0)
     known = spark.sparkContext.broadcast((centres.mean(axis=0), centres.std(axis=0) + 1e-3, centres))
-    sums = rows.select("x").mapInArrow(_assign(known), "k int, n long, x binary").repartition("k").mapInArrow(_added, "k int, n long, x binary").toArrow()  # PROTOTYPES rows
+    sums = rows.select("x").mapInArrow(lean(_assign(known)), "k int, n long, x binary").repartition("k").mapInArrow(lean(_added), "k int, n long, x binary").toArrow()  # PROTOTYPES rows
     order = np.argsort(sums.column("k").to_numpy())
     n = sums.column("n").to_numpy()[order].astype(float)
     return np.frombuffer(b"".join(sums.column("x").to_pylist())).reshape(-1, FEATURES)[order] / n[:, None], n
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
     ours = known.where(in_training(modulus, remainder) & (F.col("quality") == 1)).select("doc_id")
     with Scratch() as hold:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-        rows = hold(rows.where(in_training(modulus, remainder)).mapInArrow(_describe, "doc_id long, th long, x binary"))
+        rows = hold(rows.where(in_training(modulus, remainder)).mapInArrow(lean(_describe), "doc_id long, th long, x binary"))
         once = rows.groupBy("doc_id").agg(F.min_by("x", "th").alias("x"))
         positive = hold(once.join(ours, "doc_id"))
         free = hold(once.join(known, "doc_id", "left_anti"))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, NO_ID, Scratch, WordHashes, ascii_lower, batches, grams, mixed, records, slices
+from .common import CACHE_WORDS, NO_ID, Scratch, WordHashes, ascii_lower, batches, grams, lean, mixed, records, slices
 from .linking import bucketed, link
 
 CHAIN = 3
@@ -210,12 +210,12 @@ def near_groups(rows: DataFrame, hold: Scratch, numerator: int = 80, denominator
     """
     least = numerator / denominator
     spark = rows.sparkSession
-    sets = hold(rows.select("doc_id", "th", "text").mapInArrow(_sets, "doc_id long, th long, n int, set_id binary, s binary"))
+    sets = hold(rows.select("doc_id", "th", "text").mapInArrow(lean(_sets), "doc_id long, th long, n int, set_id binary, s binary"))
     filled = sets.where("n > 0")
     classes = hold(filled.groupBy("set_id").agg(F.min("doc_id").alias("least")))
 
     def keys(frequent) -> DataFrame:
-        return filled.select("set_id", "s").mapInArrow(_prefixes(least, spark.sparkContext.broadcast(frequent)), "set_id binary, keys array<long>").select("set_id", F.explode("keys").alias("key"))
+        return filled.select("set_id", "s").mapInArrow(lean(_prefixes(least, spark.sparkContext.broadcast(frequent))), "set_id binary, keys array<long>").select("set_id", F.explode("keys").alias("key"))
 
     none = np.empty(0, np.uint64), np.empty(0, np.int64)
     total = filled.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1), F.lit(0))).first()[0]
@@ -231,7 +231,7 @@ def near_groups(rows: DataFrame, hold: Scratch, numerator: int = 80, denominator
     # one row of each set, found by its id too, so that a large group of equal sets is not gathered
     first = classes.join(ends, "set_id").select("set_id", F.col("least").alias("doc_id"))
     own = hold(filled.select("set_id", "doc_id", "s").join(first.hint("merge"), ["set_id", "doc_id"]).select("set_id", "s").dropDuplicates(["set_id"]))
-    nodes = own.mapInArrow(_nodes(least), "set_id binary, n int, part int, " + ", ".join(f"{m} long" for m in MAPS))
+    nodes = own.mapInArrow(lean(_nodes(least)), "set_id binary, n int, part int, " + ", ".join(f"{m} long" for m in MAPS))
     # a set stands in its own partition, and as a guest in the one after
     members = met.join(nodes, "set_id").withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).withColumn("key", F.xxhash64("key", "part")).drop("part")
 
@@ -242,7 +242,7 @@ def near_groups(rows: DataFrame, hold: Scratch, numerator: int = 80, denominator
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = own.select(F.col("set_id").alias("a"), F.col("s").alias("x")), own.select(F.col("set_id").alias("b"), F.col("s").alias("y"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_alike(least), "a binary, b binary, linked boolean")
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(lean(_alike(least)), "a binary, b binary, linked boolean")
 
     roots = link(bucketed(members, hold), ["n", *MAPS], may, verify, write=hold)
     labels = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -351,7 +351,7 @@ def fingerprints(docs: DataFrame, numerator: int = 80, denominator: int = 100) -
     number = 16 * parts
     cuts = sorted(int(x) for x in rows.agg(F.percentile_approx("doc_id", [k / number for k in range(1, number)], 10000).alias("q")).first().q or [])
     blocks = Blocks(cuts)
-    first = rows.select("doc_id", "th").mapInArrow(_heads(blocks), "block int, doc_id long, th long").groupBy("block").agg(F.max(F.struct("doc_id", "th")).alias("x")).orderBy(F.desc("block")).collect()  # a row a block
+    first = rows.select("doc_id", "th").mapInArrow(lean(_heads(blocks)), "block int, doc_id long, th long").groupBy("block").agg(F.max(F.struct("doc_id", "th")).alias("x")).orderBy(F.desc("block")).collect()  # a row a block
     if not first:
         return docs.sparkSession.createDataFrame([], _DDL)
     present = [r.block for r in first]
@@ -366,8 +366,8 @@ def fingerprints(docs: DataFrame, numerator: int = 80, denominator: int = 100) -
     stay = rows.select(*of(F.lit(None).cast("int"), False), none, "text")
     guest = rows.join(heads, ["doc_id", "th"]).select(*of(F.col("at"), True), none, "text").dropDuplicates(["block"])
     told = groups.select(*of(F.lit(None).cast("int"), False), "component_id", F.lit(None).cast("string").alias("text"))
-    dealt = stay.unionByName(guest).unionByName(told).mapInArrow(_dealt(blocks), _DEALT)
+    dealt = stay.unionByName(guest).unionByName(told).mapInArrow(lean(_dealt(blocks)), _DEALT)
     dealt = dealt.repartition(parts, "block").sortWithinPartitions("block", "guest", F.desc("doc_id"), F.desc("th"), F.col("component_id").isNull())
-    out = dealt.mapInArrow(_compare, _DDL)
+    out = dealt.mapInArrow(lean(_compare), _DDL)
     id_ = lambda c: F.when((F.col(c) != -(2**63)) & (F.col(c) != NO_ID), F.col(c)).alias(c)
     return out.select(id_("doc_id"), *_OUT.names[1:-1], id_("component_id"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, ascii_words, batches, grams, keyed, materialize, mixed, records, same
+from .common import Scratch, WordHashes, ascii_words, batches, grams, keyed, lean, materialize, mixed, records, same
 
 BASE = 9
 
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, target: int = 35, base: int = BASE) -> DataF
     source = keyed(docs)
     levels = lengths(target, base)
     with Scratch() as hold:
-        profile = hold(source.mapInArrow(_profiles(target, levels[0]), _DDL[id(_PROFILE)]))
+        profile = hold(source.mapInArrow(lean(_profiles(target, levels[0])), _DDL[id(_PROFILE)]))
         copies = profile.where("content is not null").groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("d")).where("n > 1")
         copies = hold(copies)
         twin = profile.where("content is not null").select("doc_id", "th", "content").join(copies, "content")
@@ -146,9 +146,9 @@ def remove_repeats(docs: DataFrame, target: int = 35, base: int = BASE) -> DataF
             hold.drop(old, found)
             texts = held
             last = levels[k + 1] == target
-            longer = held.mapInArrow(_extend(length, levels[k + 1], last), _DDL[id(_WINDOWS)])
+            longer = held.mapInArrow(lean(_extend(length, levels[k + 1], last)), _DDL[id(_WINDOWS)])
             windows = hold(longer.select("doc_id", "th", F.inline(F.arrays_zip("starts", "hashes", "checks"))).toDF("doc_id", "th", "start", "h", "c"))
-        kept = held.mapInArrow(_remove(target), _DDL[id(_KEPT)])
+        kept = held.mapInArrow(lean(_remove(target)), _DDL[id(_KEPT)])
         part = kept.join(twin.withColumn("twin", F.lit(True)).drop("first"), (same(kept.doc_id, twin.doc_id)) & (kept.th == twin.th), "left_anti")
         whole = twin.select("doc_id", "th", F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
         changed = part.unionByName(whole)
