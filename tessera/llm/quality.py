@@ -24,7 +24,6 @@ from collections import Counter
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -275,12 +274,10 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
 def scorer(model: Network):
     """A function of a text column: its score, from 0 to 1; null and empty texts have one too."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(texts), 256):
-            out.append(model.score(np.array([features(t) for t in texts.iloc[at : at + 256]])))
-        return pd.Series(np.concatenate(out) if out else [])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        out = [model.score(np.array([features(t) for t in texts.slice(at, 256).to_pylist()])) for at in range(0, len(texts), 256)]
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return lambda text: score(F.col(text).cast("string"))
 
