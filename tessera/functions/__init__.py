@@ -63,8 +63,20 @@ def engine_type(field: T.StructField) -> DataType:
     return DataType.NUMERIC if isinstance(t, T.DecimalType) else DataType.STRING
 
 
+def refuse(df: DataFrame) -> DataFrame:
+    """df, unless it has times of day or intervals, which the typed scan doesn't load."""
+    for f in df.schema.fields:
+        if f.dataType.typeName().split("(")[0].split(" ")[0] in ("time", "interval") or "interval" in f.dataType.simpleString():
+            raise SchemaError(f"column {f.name} is {f.dataType.simpleString()}, which a typed scan can't load")
+    return df
+
+
 def normalize(df: DataFrame) -> DataFrame:
-    """Integers widen to bigint, float to double, dates to UTC midnight, decimals to tagged text; all else stays."""
+    """Integers widen to bigint, float to double, dates to UTC midnight, decimals to tagged text, arrays, maps and structs to JSON text; all else stays.
+
+    Times of day and intervals are refused.
+    """
+    refuse(df)
     out = []
     for f in df.schema.fields:
         c, kind = F.col(f"`{f.name}`"), engine_type(f)
@@ -74,6 +86,8 @@ def normalize(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("timestamp_ntz")
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            c = F.to_json(c)
         elif kind is DataType.NUMERIC and not isinstance(f.dataType, T.StringType):
             c = c.cast("string")
         out.append(c.alias(f.name, metadata={**f.metadata, TAG: kind.value}))
@@ -93,6 +107,27 @@ def parse_bool(c: Column) -> Column:
     return F.when(c.isin("t", "true", "1"), True).when(c.isin("f", "false", "0"), False).when(c.isNotNull(), F.raise_error(F.concat(F.lit("not a bool: "), c)).cast("boolean"))
 
 
+def _parsed(c: Column, pattern: str, to: str, what: str) -> Column:
+    text = F.trim(c)
+    value = F.when(text.rlike(pattern), text).try_cast(to)
+    return F.when(value.isNotNull(), value).when(c.isNotNull(), F.raise_error(F.concat(F.lit(f"not {what}: "), c)).cast(to))
+
+
+def parse_int(c: Column) -> Column:
+    """Digits with a sign as bigint; any other text, or too large a number, fails the query."""
+    return _parsed(c, r"^[+-]?[0-9]+$", "bigint", "an integer")
+
+
+def parse_float(c: Column) -> Column:
+    """Text as double, NaN and Infinity too; any other text fails the query."""
+    return _parsed(c, r"(?i)^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan|[+-]?inf(inity)?)$", "double", "a float")
+
+
+def parse_numeric(c: Column) -> Column:
+    """Numeric text as it is, of any precision; any other text fails the query."""
+    return _parsed(c, r"(?i)^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan)$", "string", "a numeric")
+
+
 def parse_bytes(c: Column) -> Column:
     r"""\x hex text as its bytes, other text as it is."""
     return F.when(c.startswith("\\x"), F.unhex(F.substring(c, 3, 2147483647))).otherwise(c.cast("binary"))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..errors import SchemaError
 from ..functions import DataType, by_position, engine_type, is_nan, positions
-from .aggregates import GlobalFloatAgg, GroupByInt64, GroupByString
+from .aggregates import GlobalFloatAgg, GroupByInt64, GroupByString, UserAgg
 
-__all__ = ["BoolFilter", "Cmp", "Custom", "Filter", "FilterProject", "Float64Filter", "GlobalFloatAgg", "GroupByInt64", "GroupByString", "Int64Filter", "MapBatches", "Project", "RowFilter", "StringFilter", "filter_float64_gt_project"]
+__all__ = ["BoolFilter", "Cmp", "Custom", "Filter", "FilterProject", "Float64Filter", "GlobalFloatAgg", "GroupByInt64", "GroupByString", "Int64Filter", "MapBatches", "Project", "RowFilter", "StringFilter", "UserAgg", "filter_float64_gt_project"]
 
 
 class Cmp(enum.Enum):
@@ -108,7 +108,10 @@ def filter_float64_gt_project(col: int, threshold: float, *indices: int) -> Filt
 
 @dataclass(frozen=True)
 class RowFilter:
-    """Keeps rows for which predicate(list of cells) is true; what it raises fails the query."""
+    """Keeps rows for which predicate(list of cells) is true; what it raises fails the query.
+
+    The predicate is Python, called row by row; the typed filters are pushed down to the scan instead.
+    """
 
     predicate: Callable[[list], bool]
 

@@ -5,8 +5,12 @@ Sums and averages of nothing are 0. Partial results of several inputs merge by a
 
 from __future__ import annotations
 
+import pickle
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import SchemaError
 from ..functions import DataType, by_position, engine_type, positions
@@ -110,3 +114,43 @@ class GroupByInt64(_Grouped):
 
 class GroupByString(_Grouped):
     kind = DataType.STRING
+
+
+class UserAgg:
+    """A user's aggregate of record batches: add(state, batch) and merge(a, b) give states, result(state) a row's cells.
+
+    Each task adds up its own batches; states, not rows, are then merged, FAN at a time. start() gives an empty state;
+    empty input has the result of that. States are pickled and must not depend on the order of rows.
+    """
+
+    FAN = 64
+
+    def __init__(self, start, add, merge, result, schema: str):
+        self.start, self.add, self.merge, self.result, self.schema = start, add, merge, result, schema
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        start, add, merge, result = self.start, self.add, self.merge, self.result
+        spark = df.sparkSession
+        fields = spark.createDataFrame([], self.schema).schema
+
+        def partial(frames):
+            state = start()
+            for batch in frames:
+                state = add(state, batch)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], ["state"])
+
+        def merged(frames):
+            state = start()
+            for batch in frames:
+                for x in batch.column(0).to_pylist():
+                    state = merge(state, pickle.loads(x))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], ["state"])
+
+        def finished(frames):
+            for batch in frames:
+                cells = [result(pickle.loads(x)) for x in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(zip(*cells), fields)], fields.names)
+
+        states = by_position(df).mapInArrow(partial, "state binary")
+        states = states.repartition(self.FAN).mapInArrow(merged, "state binary")
+        return states.repartition(1).mapInArrow(merged, "state binary").mapInArrow(finished, self.schema)

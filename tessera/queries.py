@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import DataType, normalize
-from .operators import BoolFilter, Cmp, Custom, FilterProject, Float64Filter, GlobalFloatAgg, GroupByInt64, GroupByString, Int64Filter, MapBatches, Project, RowFilter, StringFilter, filter_float64_gt_project
-from .plans import Options, execute, register_tables
+from .operators import BoolFilter, Cmp, Custom, FilterProject, Float64Filter, GlobalFloatAgg, GroupByInt64, GroupByString, Int64Filter, MapBatches, Project, RowFilter, StringFilter, UserAgg, filter_float64_gt_project
+from .plans import Options, execute, named_tables, register_tables
 from .sources import CustomSource, FileSource, FrameSource, RangeSource, RowsSource, SqlSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,7 @@ def _split(select: str) -> list[str]:
 
 def _sql(text: str, args=None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_tables(spark, sf_dir)
+        register_tables(spark, sf_dir, named_tables(text))
         return execute(spark, SqlSource(text, args))
 
     return run
@@ -143,10 +143,10 @@ _PLAIN = {
     "sql_group_ordinal": "select l_orderkey % 128 as g, count(*) as n, avg(l_quantity) as a from lineitem group by 1",
     "sql_sub_select": "select count(*) as n from (select l_orderkey from lineitem where l_quantity > 25) t",
     "sql_case": "select o_orderkey, case when o_totalprice > 100000 then 'high' when o_totalprice > 50000 then 'mid' else null end as band from orders",
-    "sql_outer_join": "select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey",
-    "sql_semi": "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey)",
+    "sql_outer_join": "select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey and o_totalprice > 400000",
+    "sql_semi": "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)",
     "sql_in": "select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1)",
-    "sql_anti": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "sql_anti": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)",
     "sql_window": "select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as rn, count(*) over (partition by o_custkey order by o_orderkey rows between 2 preceding and current row) as c3 from orders",
     "sql_rollup": "select l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as q from lineitem group by rollup(l_returnflag, l_linestatus)",
     "sql_cube": "select l_returnflag, l_linestatus, count(*) as n from lineitem group by cube(l_returnflag, l_linestatus)",
@@ -156,13 +156,13 @@ _PLAIN = {
     "sql_min_max": "select l_returnflag, min(l_quantity) as lo, max(l_quantity) as hi, count(distinct l_suppkey) as suppliers from lineitem group by l_returnflag",
     "sql_union": "select n_nationkey as k from nation union all select r_regionkey as k from region",
     "sql_intersect": "select c_nationkey as k from customer intersect select s_nationkey as k from supplier",
-    "sql_except": "select c_custkey as k from customer except select o_custkey as k from orders",
+    "sql_except": "select c_custkey as k from customer except select o_custkey as k from orders where o_totalprice > 400000",
     "sql_offset": "select o_orderkey from orders order by o_orderkey limit 20 offset 40",
     "sql_nulls_last": "select o_orderkey, nullif(o_orderstatus, 'F') as s from orders order by s nulls last, o_orderkey limit 500",
     "sql_nulls_last_all": "select o_orderkey, nullif(o_orderstatus, 'F') as s from orders order by s nulls last, o_orderkey",
     "sql_recursive": "with recursive t(n) as (select 1 union all select n + 1 from t where n < 50) select n from t",
     "sql_extract": "select extract(year from o_orderdate) as y, count(*) as n from orders group by 1",
-    "sql_ilike": "select p_partkey from part where p_type ilike '%steel%'",
+    "sql_ilike": "select p_partkey from part where p_type ilike '%PROMO%'",
     "sql_between": "select l_orderkey, l_linenumber from lineitem where l_quantity between 10 and 20 and not (l_tax > 0.04 or l_discount < 0.02)",
 }
 for _name, _text in _PLAIN.items():
@@ -177,6 +177,33 @@ _add("sql_named_params", _sql("select o_orderkey from orders where o_custkey = :
 _add("sql_concat_cast", _sql("select 'user-' || o_custkey::string as name, (o_orderkey % 100000)::double / 100000.0D as f from orders"), "select 'user-' || o_custkey::varchar as name, (o_orderkey % 100000)::double / 100000.0 as f from orders")
 _add("sql_intervals", _sql("select event_id, ts + make_interval(0, 0, 0, 0, 0, 0, user_id) as later from events"), "select event_id, ts + to_seconds(user_id) as later from events")
 
+# the backend's own dialect, beside the plain form that DuckDB runs
+_add("sql_string_agg", _sql("select n_regionkey, string_agg(n_name, ',') within group (order by n_name) as names from nation group by n_regionkey"), "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey")
+_add("sql_values", _sql("select * from (values (1, 'a'), (2, null), (3, 'c')) as t(k, s) where k <> 1"), "select * from (values (1, 'a'), (2, null), (3, 'c')) as t(k, s) where k <> 1")
+_add("sql_stddev", _sql("select l_returnflag, round(stddev_samp(l_quantity), 6) as sd, round(var_pop(l_quantity), 6) as vp from lineitem group by l_returnflag"), "select l_returnflag, round(stddev_samp(l_quantity), 6) as sd, round(var_pop(l_quantity), 6) as vp from lineitem group by l_returnflag")
+_add("sql_approx_distinct", _sql("select abs(approx_count_distinct(l_orderkey, 0.02) / count(distinct l_orderkey) - 1) < 0.1 as near from lineitem"), "select true as near")
+_add("sql_numeric_division", _sql("select o_orderkey, cast(cast(o_totalprice as decimal(18, 2)) / 3 as decimal(18, 6))::text as third from orders"), "select o_orderkey, cast(round(cast(cast(o_totalprice as decimal(18, 2)) as decimal(34, 10)) * 1000000 / 3) / 1000000 as decimal(18, 6))::varchar as third from orders")
+_add("sql_multi_measures", _sql("select l_returnflag, l_linestatus, sum(l_quantity) as q, avg(l_extendedprice) as p, min(l_discount) as d, count(*) as n from lineitem group by 1, 2"), "select l_returnflag, l_linestatus, sum(l_quantity) as q, avg(l_extendedprice) as p, min(l_discount) as d, count(*) as n from lineitem group by 1, 2")
+_add("sql_distinct_on", _sql("select distinct on (o_custkey) o_custkey, o_orderkey, o_totalprice from orders order by o_custkey, o_totalprice desc, o_orderkey"), "select distinct on (o_custkey) o_custkey, o_orderkey, o_totalprice from orders order by o_custkey, o_totalprice desc, o_orderkey")
+_add("sql_regex", _sql("select p_partkey from part where p_type ~ '^PROMO' and p_type !~ 'STEEL$' or p_type ~* 'brass'"), "select p_partkey from part where regexp_matches(p_type, '^PROMO') and not regexp_matches(p_type, 'STEEL$') or regexp_matches(p_type, 'brass', 'i')")
+_add("sql_fetch_first", _sql("select o_orderkey from orders order by o_orderkey fetch first 7 rows only"), "select o_orderkey from orders order by o_orderkey limit 7")
+_add("sql_generate_series", _sql("select g.n, n::text as t, (n / 4.0)::float8 as q from generate_series(1, 40) as g(n) where n % 3 = 0"), "select g.n, n::varchar as t, (n / 4.0)::double as q from (select unnest(generate_series(1, 40))::integer) as g(n) where n % 3 = 0")
+
+
+def _total(state, batch: pa.RecordBatch):
+    import pyarrow.compute as pc
+
+    n, most = state
+    top = pc.max(batch.column(0)).as_py()
+    return n + batch.num_rows, top if most is None or (top is not None and top > most) else most
+
+
+def _larger(a, b):
+    return a[0] + b[0], max((x for x in (a[1], b[1]) if x is not None), default=None)
+
+
+_add("agg_user", _scan("lineitem", "l_extendedprice", UserAgg(lambda: (0, None), _total, _larger, lambda state: state, "n long, most double")), "select count(*) as n, max(l_extendedprice) as most from lineitem")
+
 # sources and types
 _ROWS = RowsSource([("id", DataType.INT64), ("name", DataType.STRING)], [[1], [2, "b"], [3, "c", "extra"]])
 _add("source_rows_ragged", lambda spark, _: execute(spark, _ROWS), "select * from (values (1::bigint, null::varchar), (2, 'b'), (3, 'c')) t(id, name)")

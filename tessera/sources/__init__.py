@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import SchemaError
-from ..functions import DataType, pack_rows
+from ..functions import DataType, pack_rows, refuse
 
 DEFAULT_CHUNK = 1024
 
@@ -83,17 +83,18 @@ class SqlSource(ChunkSized):
     args: Sequence | dict | None = None
 
     def open(self, spark: SparkSession) -> DataFrame:
-        from ..plans import bind
+        from ..plans import bind, translate
 
-        text, args = bind(self.sql, self.args)
+        text, args = bind(translate(self.sql), self.args)
         return spark.sql(text, args) if args else spark.sql(text)
 
 
 @dataclass
 class JdbcSource(ChunkSized):
-    """A SQL text sent as it is to a JDBC server. Nothing here was run against a live server.
+    """A SQL text sent to a JDBC server as it is but for its arguments, which stand in it as literals for $1, $2, ....
 
     numeric columns load as text where named in numeric; with partition_column the table option is split in parts.
+    Times of day and intervals are refused.
     """
 
     url: str
@@ -103,17 +104,21 @@ class JdbcSource(ChunkSized):
     bounds: tuple[int, int] = (0, 0)
     parts: int = 1
     properties: dict = field(default_factory=dict)
+    args: Sequence | None = None
 
     def options(self) -> dict[str, str]:
+        from ..plans import literals
+
+        sql = literals(self.sql, self.args)
         out = {"url": self.url, "fetchsize": str(self.chunk_size), "preferTimestampNTZ": "true", **self.properties}
         if self.numeric:
             out["customSchema"] = ", ".join(f"{n} STRING" for n in self.numeric)
         if self.partition_column:
-            return out | {"dbtable": f"({self.sql}) t", "partitionColumn": self.partition_column, "lowerBound": str(self.bounds[0]), "upperBound": str(self.bounds[1]), "numPartitions": str(self.parts)}
-        return out | {"query": self.sql}
+            return out | {"dbtable": f"({sql}) t", "partitionColumn": self.partition_column, "lowerBound": str(self.bounds[0]), "upperBound": str(self.bounds[1]), "numPartitions": str(self.parts)}
+        return out | {"query": sql}
 
     def open(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format("jdbc").options(**self.options()).load()
+        return refuse(spark.read.format("jdbc").options(**self.options()).load())
 
 
 class _Parts(DataSourceReader):
