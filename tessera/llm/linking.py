@@ -62,12 +62,15 @@ def merged(roots: DataFrame | None, links: DataFrame, hold: Scratch) -> DataFram
     return hold(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")))
 
 
-def bucketed(members: DataFrame, hold: Scratch) -> DataFrame:
-    """The rows (set_id, key, ...) whose key several nodes have, with met, the places that a node meets others or itself in."""
+def bucketed(members: DataFrame, payload: DataFrame, hold: Scratch) -> DataFrame:
+    """Rows of members (set_id, key) whose key several nodes have, with the columns of payload (a row a set_id) and met, the places that a node meets others or itself in.
+
+    Most keys belong to one node, so rows are moved without their payload until that is known.
+    """
     several = hold(members.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1"))
-    rows = hold(members.join(several, "key"))
+    rows = hold(members.join(several.hint("merge"), "key"))
     met = rows.groupBy("set_id").agg(F.sum("in_bucket").alias("met"))
-    out = hold(rows.drop("in_bucket").join(met, "set_id"))
+    out = hold(rows.select("set_id", "key").join(payload, "set_id").join(met, "set_id"))
     hold.drop(several, rows)
     return out
 

@@ -156,8 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, numerator: int = 80, deno
         picked = filled.join(classes, (filled.set_id == classes.set_id) & (filled.doc_id == classes.least)).select(filled.set_id, "doc_id", "th", "n_shingles", *WORDS, "keys").dropDuplicates(["set_id"])
         picked = hold(picked)
 
-        members = picked.select("set_id", "n_shingles", *WORDS, F.explode("keys").alias("key"))
-        rows = bucketed(members, hold)
+        rows = bucketed(picked.select("set_id", F.explode("keys").alias("key")), picked.select("set_id", "n_shingles", *WORDS), hold)
         # the whole texts move once; later only those of nodes that share a key with another
         where = rows.select("set_id").distinct().join(picked.select("set_id", "doc_id", "th"), "set_id")
         texts = hold(texts.join(where.hint("merge"), ["doc_id", "th"]).select("set_id", "text").dropDuplicates(["set_id"]))

@@ -231,9 +231,9 @@ def near_groups(rows: DataFrame, hold: Scratch, numerator: int = 80, denominator
     # one row of each set, found by its id too, so that a large group of equal sets is not gathered
     first = classes.join(ends, "set_id").select("set_id", F.col("least").alias("doc_id"))
     own = hold(filled.select("set_id", "doc_id", "s").join(first.hint("merge"), ["set_id", "doc_id"]).select("set_id", "s").dropDuplicates(["set_id"]))
-    nodes = own.mapInArrow(lean(_nodes(least)), "set_id binary, n int, part int, " + ", ".join(f"{m} long" for m in MAPS))
+    nodes = hold(own.mapInArrow(lean(_nodes(least)), "set_id binary, n int, part int, " + ", ".join(f"{m} long" for m in MAPS)))
     # a set stands in its own partition, and as a guest in the one after
-    members = met.join(nodes, "set_id").withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).withColumn("key", F.xxhash64("key", "part")).drop("part")
+    members = met.join(nodes.select("set_id", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")), "set_id").select("set_id", F.xxhash64("key", "part").alias("key"))
 
     def may(x: str, y: str) -> Column:
         apart = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MAPS), F.lit(0))
@@ -244,11 +244,11 @@ def near_groups(rows: DataFrame, hold: Scratch, numerator: int = 80, denominator
         left, right = own.select(F.col("set_id").alias("a"), F.col("s").alias("x")), own.select(F.col("set_id").alias("b"), F.col("s").alias("y"))
         return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(lean(_alike(least)), "a binary, b binary, linked boolean")
 
-    roots = link(bucketed(members, hold), ["n", *MAPS], may, verify, write=hold)
+    roots = link(bucketed(members, nodes.drop("part"), hold), ["n", *MAPS], may, verify, write=hold)
     labels = classes.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     labels = hold(labels.join(labels.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_id", "component_id"))
     out = hold(filled.select("doc_id", "th", "set_id").join(labels, "set_id").where("component_id != doc_id").select("doc_id", "th", "component_id").distinct())
-    hold.drop(sets, classes, met, own, labels)
+    hold.drop(sets, classes, met, own, nodes, labels)
     return out
 
 
