@@ -30,9 +30,9 @@ from .common import batches, lean, materialize
 #: Sizes of the linear program, and shares of a sequence above which a piece is long; the plan of the fewest sequences is taken.
 GROUPS, LONG = 40, (0.5, 0.4, 0.3, 0.2)
 #: Chunks whose tokens a worker keeps, and as many again of the generation before.
-CACHE = 600_000
+CACHE = 200_000
 #: Bytes of text that are encoded together.
-PORTION = 8 << 20
+PORTION = 3 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
