@@ -30,9 +30,11 @@ from .common import batches, lean, materialize
 #: Sizes of the linear program, and shares of a sequence above which a piece is long; the plan of the fewest sequences is taken.
 GROUPS, LONG = 40, (0.5, 0.4, 0.3, 0.2)
 #: Chunks whose tokens a worker keeps, and as many again of the generation before.
-CACHE = 200_000
+CACHE = 500_000
 #: Bytes of text that are encoded together.
-PORTION = 3 << 20
+PORTION = 8 << 20
+#: Chunks whose ids are gathered together, and new chunks that are encoded together.
+GATHER, ENCODED = 1 << 16, 1 << 14
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -76,7 +78,11 @@ class Tokens:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         length = size[codes]
         after = np.concatenate([[0], np.cumsum(length)])
-        ids = pool[np.arange(after[-1]) + np.repeat(first[codes] - after[:-1], length)]
+        ids = np.empty(after[-1], "<u4")
+        for at in range(0, len(codes), GATHER):
+            begin, stop = after[at], after[min(at + GATHER, len(codes))]
+            shift = first[codes[at : at + GATHER]] - after[at : at + GATHER][: len(codes) - at]
+            ids[begin:stop] = pool[np.arange(begin, stop) + np.repeat(shift, length[at : at + GATHER])]
         per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
         return ids, after[np.cumsum(per_text)]
 
@@ -107,7 +113,9 @@ class Tokens:
             else:
                 need.add(c)
         need = [x.decode() for x in need.difference(held)]
-        self._encode([x for x in need if x.isalpha()], [x for x in need if not x.isalpha()])
+        for at in range(0, len(need), ENCODED):
+            some = need[at : at + ENCODED]
+            self._encode([x for x in some if x.isalpha()], [x for x in some if not x.isalpha()])
         for c, core, marks in parts:
             held[c] = held[core] + held[marks]
 
