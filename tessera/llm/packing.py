@@ -29,26 +29,39 @@ from .common import batches, lean, materialize
 
 #: Sizes of the linear program, and shares of a sequence above which a piece is long; the plan of the fewest sequences is taken.
 GROUPS, LONG = 40, (0.5, 0.4, 0.3, 0.2)
-#: Chunks whose tokens a worker keeps, and as many again of the generation before.
-CACHE = 500_000
+#: Units whose ids a worker keeps, and bytes of both.
+CACHE, HELD_BYTES = 1_000_000, 64 << 20
 #: Bytes of text that are encoded together.
 PORTION = 8 << 20
-#: Chunks whose ids are gathered together, and new chunks that are encoded together.
-GATHER, ENCODED = 1 << 16, 1 << 14
+#: Chunks whose ids are gathered together, and new units that are encoded together.
+GATHER, ENCODED = 1 << 16, 1 << 12
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-#: ASCII punctuation but for the apostrophe: a run of it after an ASCII letter or digit is always a token boundary.
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A chunk that ends in ASCII punctuation (but for the apostrophe) after an ASCII letter or digit: always a token boundary.
+_SPLIT = r"(?s)^(?P<core>.*[0-9A-Za-z])(?P<marks>[!-&(-/:-@\[-`{-~]+)$"
+
+
+def _runs(pool: np.ndarray, first: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool that codes name on end, and where each begins, with the end of the last."""
+    length = size[codes]
+    after = np.concatenate([[0], np.cumsum(length)])
+    out = np.empty(after[-1], pool.dtype)
+    for at in range(0, len(codes), GATHER):
+        begin, stop = after[at], after[min(at + GATHER, len(codes))]
+        shift = first[codes[at : at + GATHER]] - after[at : at + GATHER][: len(codes) - at]
+        out[begin:stop] = pool[np.arange(begin, stop) + np.repeat(shift, length[at : at + GATHER])]
+    return out, after
 
 
 class Tokens:
-    """Blank-delimited chunk -> its ids as little-endian unsigned 32-bit bytes.
+    """Texts -> their ids, by way of blank-delimited chunks, each distinct one looked up once.
 
     The vocabulary drops white space and lower-cases, so chunks are independent of each other and of the case of A-Z,
-    unless they may hold a special token's string. A chunk's last punctuation marks are encoded apart from the rest.
+    unless they may hold a special token's string. A chunk's last punctuation marks are a unit of their own. Units and
+    ids are kept in flat arrays; beyond CACHE units or HELD_BYTES only those of the texts at hand are kept.
     """
 
     def __init__(self, path: str):
@@ -56,10 +69,13 @@ class Tokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = Tokenizer.from_file(path)
-        self.held, self.older = {}, {}  # plain dictionaries: sets compare with them in C
+        self.units = pa.array([], pa.string())
+        self.pool, self.first, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        words = ((i, t[:-4]) for t, i in vocabulary.items() if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha())
+        self.mark_id, self.mark = next((i, w) for i, w in sorted(words, reverse=True) if self._ids(w).tolist() == [i])
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         ids, ends = self.joined(pa.array(texts, pa.string()))
@@ -67,72 +83,67 @@ class Tokens:
         return [data[x:y] for x, y in zip(ends, ends[1:])]
 
     def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts on end, and where each text ends; each distinct chunk is looked up once."""
+        """The ids of all texts on end, and where each text ends."""
         low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)).fill_null("")
         chunks = pc.ascii_split_whitespace(low)
         coded = chunks.flatten().dictionary_encode()
-        parts = self._each(coded.dictionary.cast(pa.binary()).to_pylist())
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        first = np.cumsum(size) - size
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        length = size[codes]
-        after = np.concatenate([[0], np.cumsum(length)])
-        ids = np.empty(after[-1], "<u4")
-        for at in range(0, len(codes), GATHER):
-            begin, stop = after[at], after[min(at + GATHER, len(codes))]
-            shift = first[codes[at : at + GATHER]] - after[at : at + GATHER][: len(codes) - at]
-            ids[begin:stop] = pool[np.arange(begin, stop) + np.repeat(shift, length[at : at + GATHER])]
+        pool, size = self._each(coded.dictionary)
+        ids, after = _runs(pool, np.cumsum(size) - size, size, coded.indices.to_numpy(zero_copy_only=False))
         per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
         return ids, after[np.cumsum(per_text)]
 
-    def _each(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each of distinct chunks; an empty one has none."""
-        found = [self.held.get(c) for c in chunks]
-        new = {c for c, x in zip(chunks, found) if not x and c}
-        if new:
-            self._learn(new)
-            found = [x or (self.held[c] if c else b"") for c, x in zip(chunks, found)]
-        return [x or b"" for x in found]
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.held) + 2 * len(new) > CACHE:
-            self.older, self.held = self.held, {}
-        held, older = self.held, self.older
-        parts, need = [], set()
-        for c in new:
-            if c in older:
-                held[c] = older[c]
-                continue
-            core = c.rstrip(_MARKS)
-            if len(core) < len(c) and core[-1:].isalnum() and b"<|" not in c:
-                marks = c[len(core) :]
-                parts.append((c, core, marks))
-                need.add(core)
-                need.add(marks)
-            else:
-                need.add(c)
-        need = [x.decode() for x in need.difference(held)]
-        for at in range(0, len(need), ENCODED):
-            some = need[at : at + ENCODED]
-            self._encode([x for x in some if x.isalpha()], [x for x in some if not x.isalpha()])
-        for c, core, marks in parts:
-            held[c] = held[core] + held[marks]
-
-    def _encode(self, letters: list[str], others: list[str]) -> None:
+    def _each(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks on end, and how many each has; an empty chunk has none."""
+        parts = pc.extract_regex(chunks, _SPLIT)
+        core, marks = (pc.if_else(pc.match_substring(chunks, "<|"), None, pc.struct_field(parts, x)) for x in ("core", "marks"))
+        units = pa.concat_arrays([pc.coalesce(core, chunks), marks.fill_null("")]).dictionary_encode()
+        pool, first, size = self._learnt(units.dictionary)
+        both = units.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()  # core and marks by turns
+        ids, after = _runs(pool, first, size, both)
+        return ids, np.diff(after[::2])
+
+    def _learnt(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and of each of distinct units its first place and length there."""
+        at = pc.index_in(units, value_set=self.units).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            new = units.take(pa.array(lacking))
+            kind = np.where(pc.match_substring(new, "<|"), 2, np.where(pc.utf8_is_alpha(new), 0, 1))
+            order = np.argsort(kind, kind="stable")
+            new, kind = new.take(pa.array(order)), kind[order]
+            pools, sizes = [self.pool], [self.size]
+            for k, encode in enumerate((self._letters, self._others, self._alone)):
+                begin, stop = np.searchsorted(kind, [k, k + 1])
+                for x in range(begin, stop, ENCODED):
+                    ids, size = encode(new.slice(x, min(ENCODED, stop - x)).to_pylist())
+                    pools.append(ids)
+                    sizes.append(size)
+            at[lacking[order]] = len(self.units) + np.arange(len(new))
+            self.units, self.pool, self.size = pa.concat_arrays([self.units, new]), np.concatenate(pools), np.concatenate(sizes)
+            self.first = np.cumsum(self.size) - self.size
+            if len(self.units) > CACHE or self.units.nbytes + self.pool.nbytes > HELD_BYTES:
+                self.units, (self.pool, after) = units, _runs(self.pool, self.first, self.size, at)
+                self.first, self.size, at = after[:-1], np.diff(after), slice(None)
+        return self.pool, self.first[at], self.size[at]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Runs of letters are one word each, so many are encoded as one text and parted at the tokens that end a word."""
-        if letters:
-            ids = np.array(self.encoder.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(letters):
-                data, last = ids.tobytes(), 0
-                for x, e in zip(letters, (4 * ends).tolist()):
-                    self.held[x.encode()] = data[last:e]
-                    last = e
-            else:
-                others = letters + others
-        for x, e in zip(others, self.encoder.encode_batch_fast(others, add_special_tokens=False)):
-            self.held[x.encode()] = np.array(e.ids, "<u4").tobytes()
+        ids = self._ids(" ".join(words))
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._alone(words)
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Other units are parted at a word between them, unless one holds that word itself."""
+        ids = self._ids(f" {self.mark} ".join(words))
+        at = np.flatnonzero(ids == self.mark_id)
+        return (np.delete(ids, at), np.diff(at, prepend=-1, append=len(ids)) - 1) if len(at) == len(words) - 1 else self._alone(words)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(e.ids, "<u4") for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 #: Of this Python worker.
